@@ -13,16 +13,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BROADCAST_ROWS = 2_000_000
 
-_STEPS = Window.orderBy("_day")
+
+def _steps():
+    return Window.orderBy("_day")
 
 
 def _step(n: int) -> Column:
     """The trading day n steps from the current one."""
-    return (F.lead("_real", n) if n >= 0 else F.lag("_real", -n)).over(_STEPS)
+    return (F.lead("_real", n) if n >= 0 else F.lag("_real", -n)).over(_steps())
 
 
 def _steps_between(a: int, b: int) -> Column:
-    return F.collect_list("_real").over(_STEPS.rowsBetween(a, b))
+    return F.collect_list("_real").over(_steps().rowsBetween(a, b))
+
+
+def _positive(n: int) -> None:
+    if not isinstance(n, int) or isinstance(n, bool) or n < 1:
+        raise ValueError(f"the number of days must be a positive integer, got {n!r}")
 
 
 class TradingCalendar:
@@ -87,19 +94,15 @@ class TradingCalendar:
 
     def prevn(self, df: DataFrame, n: int, date: str = "date", out: str = "prev_day") -> DataFrame:
         """One row per trading day among the ``n`` last ones before date."""
+        _positive(n)
         on_day, between = _steps_between(-n, -1), _steps_between(1 - n, 0)
-        return self._lookup(df, date, out, *self._list(n, on_day, between)).withColumn(out, F.explode(out))
+        return self._lookup(df, date, out, on_day, between).withColumn(out, F.explode(out))
 
     def nextn(self, df: DataFrame, n: int, date: str = "date", out: str = "next_day") -> DataFrame:
         """One row per trading day among the ``n`` first ones after date."""
+        _positive(n)
         ahead = _steps_between(1, n)
-        return self._lookup(df, date, out, *self._list(n, ahead, ahead)).withColumn(out, F.explode(out))
-
-    @staticmethod
-    def _list(n: int, on_day: Column, between: Column) -> tuple[Column, Column]:
-        if not isinstance(n, int) or isinstance(n, bool) or n < 1:
-            raise ValueError(f"the number of days must be a positive integer, got {n!r}")
-        return on_day, between
+        return self._lookup(df, date, out, ahead, ahead).withColumn(out, F.explode(out))
 
     def _lookup(self, df: DataFrame, date: str, out: str, on_day: Column, between: Column) -> DataFrame:
         """Left-join ``out`` to df: ``on_day`` where date is a trading day, else ``between``.
@@ -117,7 +120,7 @@ class TradingCalendar:
             .select(
                 "_day",
                 "_real",
-                F.coalesce(F.lead("_day").over(_STEPS), F.lit(last + 2)).alias("_until"),
+                F.coalesce(F.lead("_day").over(_steps()), F.lit(last + 2)).alias("_until"),
                 on_day.alias("_on"),
                 between.alias("_between"),
             )
