@@ -50,14 +50,18 @@ class Series:
         return self.df.where("_own").drop("_own") if self.blocked else self.df
 
 
-def series(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int = MAX_ROWS) -> Series:
+def series(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int | None = MAX_ROWS) -> Series:
     """Key ``bars`` for windows that look ``before`` rows back and ``after`` rows ahead.
 
-    Runs one small aggregate over the key columns to see whether any symbol has
-    more than ``max_rows`` rows; only then are blocks cut. Rows without a symbol
-    belong to no series and are dropped.
+    Runs one small aggregate over ``symbol`` to see whether any symbol has more
+    than ``max_rows`` rows; only then are blocks cut. None skips the check and
+    takes it that every symbol fits a task. Rows without a symbol belong to no
+    series and are dropped.
     """
     bars = bars.where(F.col("symbol").isNotNull())
+    if max_rows is None or (bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0) <= max_rows:
+        return Series(bars)
+
     days = bars.groupBy("symbol", "date").agg(
         F.count("*").alias("n"), F.min("interval").alias("lo"), F.max("interval").alias("hi")
     )
@@ -68,9 +72,6 @@ def series(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int = MAX
         .agg(F.sum("days").alias("days"), F.max("day").alias("day"))
         .first()
     )
-    if big["days"] is None:
-        return Series(bars)
-
     target = max(1, max_rows // 4)
     layout = _layout(bars, days, max_rows, target, big["day"] > target, before, after)
     if big["days"] <= BROADCAST_ROWS:
