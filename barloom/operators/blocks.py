@@ -29,12 +29,25 @@ MAX_ROWS = 8_000_000
 BROADCAST_ROWS = 1_000_000
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Where the days of the big symbols go, and the largest number of blocks there can be."""
+
+    table: DataFrame
+    days: int
+    blocks: int
+
+
 @dataclass(frozen=True)
 class Series:
-    """Bars keyed for ordered windows. ``blocked`` frames also hold _blk and _own."""
+    """Bars keyed for ordered windows. A frame cut into blocks also holds _blk and _own."""
 
     df: DataFrame
-    blocked: bool = False
+    blocks: int = 0
+
+    @property
+    def blocked(self) -> bool:
+        return self.blocks > 0
 
     @property
     def keys(self) -> list[str]:
@@ -44,24 +57,32 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy("date", "interval")
 
     def with_df(self, df: DataFrame) -> "Series":
-        return Series(df, self.blocked)
+        return Series(df, self.blocks)
 
     def own(self) -> DataFrame:
         return self.df.where("_own").drop("_own") if self.blocked else self.df
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """Hint a broadcast if ``rows``, an upper bound of df's size, allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def series(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int | None = MAX_ROWS) -> Series:
-    """Key ``bars`` for windows that look ``before`` rows back and ``after`` rows ahead.
+    """Key ``bars`` for windows that look ``before`` rows back and ``after`` rows ahead."""
+    return place(bars, find_layout(bars, before, after, max_rows))
+
 
-    Runs one small aggregate over ``symbol`` to see whether any symbol has more
-    than ``max_rows`` rows; only then are blocks cut. None skips the check and
-    takes it that every symbol fits a task. Rows without a symbol belong to no
-    series and are dropped.
+def find_layout(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int | None = MAX_ROWS) -> Layout | None:
+    """Cut points for the symbols with more than ``max_rows`` bars, None if there are none.
+
+    Runs one small aggregate over ``symbol``; only if that finds a big symbol, a
+    second one over the key columns. ``max_rows=None`` skips the check and takes
+    it that every symbol fits a task.
     """
     bars = bars.where(F.col("symbol").isNotNull())
     if max_rows is None or (bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0) <= max_rows:
-        return Series(bars)
-
+        return None
     days = bars.groupBy("symbol", "date").agg(
         F.count("*").alias("n"), F.min("interval").alias("lo"), F.max("interval").alias("hi")
     )
@@ -69,22 +90,31 @@ def series(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int | Non
         days.groupBy("symbol")
         .agg(F.sum("n").alias("total"), F.max("n").alias("day"), F.count("*").alias("days"))
         .where(F.col("total") > max_rows)
-        .agg(F.sum("days").alias("days"), F.max("day").alias("day"))
+        .agg(F.sum("days").alias("days"), F.max("day").alias("day"), F.sum(F.ceil(F.col("total") / max_rows)).alias("blocks"))
         .first()
     )
     target = max(1, max_rows // 4)
-    layout = _layout(bars, days, max_rows, target, big["day"] > target, before, after)
-    if big["days"] <= BROADCAST_ROWS:
-        layout = F.broadcast(layout)
+    table = _layout(bars, days, max_rows, target, big["day"] > target, before, after)
+    return Layout(table, big["days"], big["blocks"])
+
+
+def place(bars: DataFrame, layout: Layout | None) -> Series:
+    """Bars with their block, copied where a neighbouring block looks at them.
+
+    Rows without a symbol belong to no series and are dropped.
+    """
+    bars = bars.where(F.col("symbol").isNotNull())
+    if layout is None:
+        return Series(bars)
     placed = (
-        bars.join(layout, ["symbol", "date"], "left")
+        bars.join(broadcast_up_to(layout.table, layout.days), ["symbol", "date"], "left")
         .withColumn("_slice", F.expr("coalesce((interval - _lo) div _width, 0)"))
         .withColumn("_dest", F.coalesce(F.expr("_dests[cast(_slice as int)]"), F.array(F.lit(0).cast("bigint"))))
         .select(*bars.columns, F.posexplode("_dest").alias("_pos", "_blk"))
         .withColumn("_own", F.col("_pos") == 0)
         .drop("_pos")
     )
-    return Series(placed, blocked=True)
+    return Series(placed, layout.blocks)
 
 
 def _layout(bars, days, max_rows, target, slice_days, before, after) -> DataFrame:

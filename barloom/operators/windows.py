@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from barloom.operators.blocks import Series
+from barloom.operators.blocks import Series, broadcast_up_to
 
 # Rows per stretch of the ewm scan. Both decays in use are below 1e-29 after one
 # stretch, so the one before the last cannot be seen in a double.
@@ -136,6 +136,8 @@ def ewm(s: Series, specs: dict[str, tuple[str, float]]) -> Series:
     value. A running sum of x_i d^-i overflows, so it restarts at each stretch;
     the stretch before enters through its state at its last row.
     """
+    if not specs:
+        return s
     inner = Window.partitionBy(*s.keys, "_sub").orderBy("date", "interval").rowsBetween(Window.unboundedPreceding, 0)
     so_far = stretch_window(s).rowsBetween(Window.unboundedPreceding, 0)
     before = stretch_window(s).rowsBetween(Window.unboundedPreceding, -1)
@@ -171,7 +173,8 @@ def ewm(s: Series, specs: dict[str, tuple[str, float]]) -> Series:
     arrived = []
     if s.blocked:
         arrived = [f"_ine_{out}" for out in specs]
-        df = df.join(_ewm_carry(s.with_df(df), specs), s.keys, "left").selectExpr(*keep, *arrived, *[
+        carry = broadcast_up_to(_ewm_carry(s, specs), s.blocks)
+        df = df.join(carry, s.keys, "left").selectExpr(*keep, *arrived, *[
             f"_{p}_{out} + coalesce(_in{p}_{out}, 0D) * pow({d!r}D, _i + 1) as _{p}_{out}" for p, out, d, _ in parts
         ])
     df = df.selectExpr(*keep, *arrived, *[f"if(_d_{out} > 0, _n_{out} / _d_{out}, null) as _e_{out}" for out in specs])
@@ -184,18 +187,25 @@ def ewm(s: Series, specs: dict[str, tuple[str, float]]) -> Series:
 def _ewm_carry(s: Series, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """Incoming (n, d, e) of each block, from one summary row per block.
 
-    A symbol has rows / max_rows summaries, so the scan over them is short
-    however long the series is.
+    The summary holds the weighted sums as of the last present value of the
+    block; only the STRETCH rows up to it can be seen in them. A symbol has
+    rows / max_rows summaries, so the scan over them is short however long the
+    series is.
     """
-    ends = s.df.where("_own").groupBy(*s.keys).agg(
-        (F.max("_i") + 1).alias("rows"),
-        *[
-            F.max_by(F.struct(F.col(f"_n_{out}").alias("n"), F.col(f"_d_{out}").alias("d"), F.col("_i").alias("i")),
-                     F.when(F.col(f"_d_{out}") > 0, F.col("_i"))).alias(out)
-            for out in specs
-        ],
+    whole = Window.partitionBy(*s.keys)
+    columns = sorted({c for c, _ in specs.values()})
+    marked = s.df.where("_own").select(
+        *s.keys, "_i", *columns, *[F.expr(f"max(if({c} is not null, _i, null))").over(whole).alias(f"_at_{c}") for c in columns]
     )
-    flat = ends.select("symbol", "_blk", "rows", *[F.col(f"{out}.{p}").alias(f"{p}_{out}") for out in specs for p in "ndi"])
+    sums = []
+    for out, (c, d) in specs.items():
+        seen = f"{c} is not null and _at_{c} - _i < {STRETCH}"
+        sums += [
+            F.expr(f"sum(if({seen}, {c} * pow({d!r}D, _at_{c} - _i), 0D)) as n_{out}"),
+            F.expr(f"sum(if({seen}, pow({d!r}D, _at_{c} - _i), 0D)) as d_{out}"),
+            F.expr(f"max(_at_{c}) as i_{out}"),
+        ]
+    flat = marked.groupBy(*s.keys).agg((F.max("_i") + 1).alias("rows"), *sums)
     decay = {out: d for out, (_, d) in specs.items()}
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +219,7 @@ def _ewm_carry(s: Series, specs: dict[str, tuple[str, float]]) -> DataFrame:
             for j in range(len(pdf)):
                 state[j] = cn, cw, ce
                 old = d ** rows[j]
-                if np.isnan(w[j]):
+                if np.isnan(i[j]):  # no value in the block
                     cn, cw = cn * old, cw * old
                     continue
                 here, rest = d ** (i[j] + 1), d ** (rows[j] - 1 - i[j])
@@ -279,5 +289,5 @@ def _fill(s: Series, columns, so_far, edge, block_order) -> Series:
     across = Window.partitionBy("symbol").orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*s.keys, *[F.last(c, ignorenulls=True).over(across).alias(f"_in_{c}") for c in columns])
     df = s.df.select("*", *[F.last(c, ignorenulls=True).over(so_far).alias(f"_f_{c}") for c in columns])
-    df = df.join(ends, s.keys, "left")
+    df = df.join(broadcast_up_to(ends, s.blocks), s.keys, "left")
     return s.with_df(df.select(*rest, *[F.coalesce(f"_f_{c}", f"_in_{c}").alias(c) for c in columns]).select(*s.df.columns))

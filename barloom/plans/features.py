@@ -10,7 +10,7 @@ three sorts of narrow rows.
 Everything else is row arithmetic in the closing projection. Asking for a
 subset of the names lets Catalyst drop the scans, lags and sorts the others
 need. Symbols too big for a task are cut into blocks first (``operators.blocks``);
-the mean then comes from a partial aggregate joined back.
+the mean then comes from a narrow pass of its own and is joined to the raw rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.functions.columns import clean, imbalance, log1p0, ratio, zero
-from barloom.operators.blocks import MAX_ROWS, Series, series
+from barloom.operators.blocks import MAX_ROWS, Layout, Series, broadcast_up_to, find_layout, place
 from barloom.operators.windows import (
     Trailing, ewm, halflife_decay, index_rows, lag_name, lags, span_decay, stretch_window,
 )
@@ -152,16 +152,16 @@ def features(
     if mean_scope not in ("symbol", "universe"):
         raise ValueError(f"mean_scope must be 'symbol' or 'universe', got {mean_scope!r}")
 
-    s = _prepare(bars, label_null, max_rows)
+    s = _prepare(bars, label_null, mean_scope, True, max_rows, with_mean=any("lagret12" in n or "cx_" in n for n in names))
     s = s.with_df(s.df.selectExpr("*", f"{imbalance(*QUANTITIES)} as trade_imb", f"{log1p0('midpx')} as log_midpx"))
-    s = _mean_return(_back_return(s, guard=True), mean_scope)
 
     decay = span_decay(EMA_SPAN)
-    s = ewm(s, {
+    means = {
         "trade_imbema5": ("trade_imb", halflife_decay(IMBALANCE_HALFLIFE)),
         "ema_trade_imb": ("trade_imb", decay),
         **{f"ema_{c}": (c, decay) for c in PRICES},
-    })
+    }
+    s = ewm(s, {out: spec for out, spec in means.items() if any(out in n for n in names)})
     trail = list(range(1, TRAIL))
     s = lags(
         s,
@@ -169,7 +169,7 @@ def features(
         | {"trade_imb": [MOMENTUM_LAG]},
         stretch_window(s),
     )
-    df = _join_mean(s, mean_scope)
+    df = _originals(s)
     trails = {c: Trailing(c, TRAIL, p) for c, p in TRAILED.items()}
     # Two projections: the power sums are used several times each, so Catalyst keeps them apart.
     df = df.select("*", F.expr("bret12 - cx_bret12 as lagret12"), *[x for t in trails.values() for x in t.sums()])
@@ -182,11 +182,10 @@ def baseline_features(bars: DataFrame, label_null: str = "zero", max_rows: int =
 
     Windows stay within a symbol.
     """
-    s = _prepare(bars, label_null, max_rows)
+    s = _prepare(bars, label_null, "universe", False, max_rows)
     s = s.with_df(s.df.selectExpr("*", f"{imbalance(*QUANTITIES, guard=False)} as trade_imb"))
-    s = _back_return(s, guard=False)
     s = ewm(s, {"trade_imbema5": ("trade_imb", halflife_decay(IMBALANCE_HALFLIFE))})
-    df = _join_mean(s, "universe")
+    df = _originals(s)
     values = {n: imbalance(*sizes, guard=False) for n, sizes in BOOK_LEVELS.items()}
     values |= {"lagret12": "bret12 - cx_bret12"}
     return _emit(df, {n: values.get(n, n) for n in BASELINE_NAMES})
@@ -195,19 +194,28 @@ def baseline_features(bars: DataFrame, label_null: str = "zero", max_rows: int =
 # -- stages -------------------------------------------------------------------------
 
 
-def _prepare(bars: DataFrame, label_null: str, max_rows: int) -> Series:
+def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows: int | None, with_mean: bool = True) -> Series:
+    """Cleaned, indexed series with ``bret12`` and ``cx_bret12``."""
     if label_null not in ("zero", "drop"):
         raise ValueError(f"label_null must be 'zero' or 'drop', got {label_null!r}")
     require_columns(bars, (*KEY, *BAR_COLUMNS))
     prefer_compiled_projections(bars.sparkSession)
     columns = [*BAR_COLUMNS, *([LABEL] if LABEL in bars.columns else [])]
     raw = clean(bars.selectExpr(*KEY, *[f"cast({c} as double) as {c}" for c in columns]), columns)
-    # The lag and the row index are in one window.
-    s = index_rows(lags(series(raw, before=RETURN_LAG, max_rows=max_rows), {"midpx": [RETURN_LAG]}))
     if LABEL in columns and label_null == "drop":
-        # The rows still feed the windows; they are dropped with the copies.
-        s = s.with_df(s.df.withColumn("_keep", F.col(LABEL).isNotNull()))
-    return s
+        # The rows still feed the windows; they go together with the copies.
+        raw = raw.selectExpr("*", f"{LABEL} is not null as _keep")
+    layout = find_layout(raw, before=RETURN_LAG, max_rows=max_rows)
+    windowed = scope == "symbol" and layout is None
+    if with_mean and not windowed:
+        raw = _join_mean(raw, layout, scope, guard)
+    # The lag and the row index are in one window.
+    s = _back_return(index_rows(lags(place(raw, layout), {"midpx": [RETURN_LAG]})), guard)
+    if windowed:
+        # The exchange on symbol already serves this window.
+        group = Window.partitionBy("symbol", "interval")
+        return s.with_df(s.df.withColumn("cx_bret12", F.avg("bret12").over(group)))
+    return s if with_mean else s.with_df(s.df.selectExpr("*", "cast(null as double) as cx_bret12"))
 
 
 def _back_return(s: Series, guard: bool) -> Series:
@@ -217,24 +225,23 @@ def _back_return(s: Series, guard: bool) -> Series:
     return s.with_df(s.df.selectExpr("*", f"{value} as bret12"))
 
 
-def _mean_return(s: Series, scope: str) -> Series:
-    """The mean as a window where the exchange on symbol already serves it."""
-    if scope == "symbol" and not s.blocked:
-        group = Window.partitionBy("symbol", "interval")
-        return s.with_df(s.df.withColumn("cx_bret12", F.avg("bret12").over(group)))
-    return s
+def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool) -> DataFrame:
+    """Join ``cx_bret12`` to the raw rows, from a pass over the key and ``midpx`` alone.
 
+    Sum and count are combined map-side. The means are broadcast if the number of
+    groups, counted first, allows it. If not, it is the raw rows that are shuffled
+    for the join and not the three times wider features; AQE splits a hot group.
+    """
+    on = ["interval"] if scope == "universe" else ["symbol", "interval"]
+    groups = raw.select(*on).distinct().count()
+    s = _back_return(lags(place(raw.select(*KEY, "midpx"), layout), {"midpx": [RETURN_LAG]}), guard)
+    means = s.own().groupBy(*on).agg(F.avg("bret12").alias("cx_bret12"))
+    return raw.join(broadcast_up_to(means, groups), on, "left").select(*raw.columns, "cx_bret12")
 
-def _join_mean(s: Series, scope: str) -> DataFrame:
-    """Own rows with ``cx_bret12``, joined from an aggregate if no window gave it.
 
-    Sum and count are combined map-side; the join has no hint, so AQE broadcasts
-    the means if they turn out small and splits a skewed interval if not.
-    """
+def _originals(s: Series) -> DataFrame:
+    """The rows to emit: no copies, and none that lacks a label if those are unwanted."""
     df = s.own()
-    if "cx_bret12" not in df.columns:
-        on = ["interval"] if scope == "universe" else ["symbol", "interval"]
-        df = df.join(df.groupBy(*on).agg(F.avg("bret12").alias("cx_bret12")), on, "left")
     return df.where("_keep") if "_keep" in df.columns else df
 
 
