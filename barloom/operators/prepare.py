@@ -45,7 +45,7 @@ def fill_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit(means[c])) for c in columns})
 
 
-def clean_bars(bars: DataFrame, fill: bool = True, max_rows: int = MAX_ROWS) -> DataFrame:
+def clean_bars(bars: DataFrame, fill: bool = True, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Infinities to missing, lunch break out, gaps filled, incomplete rows out.
 
     Gaps are filled forward, then backward, in (date, interval) order of each

@@ -3,7 +3,7 @@
 Each wanted order statistic is bracketed by an approximate sketch, the bracket is
 checked by exact counts, and the sketch is run again inside it until no more than
 ``SMALL`` values are left. One round shrinks a bracket about 2500-fold, so 10^12
-values take three. Brackets are open intervals, and a value that is itself the
+values take three. A column of at most ``TINY`` values needs none of this. Brackets are open intervals, and a value that is itself the
 answer ends the search, so heavy duplicates cannot keep a bracket large.
 """
 
@@ -13,31 +13,37 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-SMALL = 100_000
+# Values sorted in one place per wanted statistic, and per column of a table that is small as it is.
+SMALL = 20_000
+TINY = 100_000
 ACCURACY = 10_000
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL) -> dict[str, list[float | None]]:
+def quantiles(
+    df: DataFrame, columns: list[str], probs: list[float], small: int = SMALL, tiny: int = TINY
+) -> dict[str, list[float | None]]:
     """{column: [value per prob]}; NULLs are not counted, an all-NULL column gives None."""
     if not columns:
         return {}
     first = df.agg(*[F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).first()
-    wanted: dict[tuple[str, int], float | None] = {}
-    for c in columns:
-        for p in probs:
-            if first[c]["n"]:
-                h = (first[c]["n"] - 1) * p
-                wanted[(c, math.floor(h))] = wanted[(c, math.ceil(h))] = None
-    _select(df, wanted, {c: (first[c]["lo"], first[c]["hi"]) for c in columns}, small)
-
-    def value(c: str, p: float):
-        if not first[c]["n"]:
-            return None
-        h = (first[c]["n"] - 1) * p
-        lo, hi = wanted[(c, math.floor(h))], wanted[(c, math.ceil(h))]
-        return float(lo + (hi - lo) * (h - math.floor(h)))
-
-    return {c: [value(c, p) for p in probs] for c in columns}
+    n = {c: first[c]["n"] for c in columns}
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns if not n[c]}
+    few = [c for c in columns if 0 < n[c] <= tiny]
+    if few:
+        points = ", ".join(f"{p!r}D" for p in map(float, probs))
+        row = df.agg(*[F.expr(f"percentile(`{c}`, array({points}))").alias(c) for c in few]).first()
+        result |= {c: list(row[c]) for c in few}
+
+    many = [c for c in columns if n[c] > tiny]
+    place = {(c, p): (n[c] - 1) * p for c in many for p in probs}
+    wanted: dict[tuple[str, int], float | None] = {
+        (c, r): None for (c, _), h in place.items() for r in (math.floor(h), math.ceil(h))
+    }
+    _select(df, wanted, {c: (first[c]["lo"], first[c]["hi"]) for c in many}, small)
+    for c in many:
+        ends = [(wanted[(c, math.floor(h))], wanted[(c, math.ceil(h))], h - math.floor(h)) for h in (place[(c, p)] for p in probs)]
+        result[c] = [float(lo + (hi - lo) * part) for lo, hi, part in ends]
+    return result
 
 
 def _select(df: DataFrame, wanted: dict, ends: dict, small: int) -> None:

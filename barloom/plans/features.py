@@ -136,7 +136,7 @@ def features(
     names: list[str] | None = None,
     mean_scope: str = "symbol",
     label_null: str = "zero",
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = MAX_ROWS,
 ) -> DataFrame:
     """Key columns, the named features (default: all 62, in order) and the label.
 
@@ -177,7 +177,7 @@ def features(
     return _emit(df, {n: catalogue[n] for n in names})
 
 
-def baseline_features(bars: DataFrame, label_null: str = "zero", max_rows: int = MAX_ROWS) -> DataFrame:
+def baseline_features(bars: DataFrame, label_null: str = "zero", max_rows: int | None = MAX_ROWS) -> DataFrame:
     """The six-feature set: plain denominators, mean return over all symbols.
 
     Windows stay within a symbol.

@@ -14,6 +14,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window, functions as F
 
+from barloom.operators.blocks import broadcast_up_to
 from barloom.session import checkpointed, ensure_checkpoint_dir
 from barloom.sources.schema import FORECAST, KEY, LABEL
 
@@ -116,12 +117,12 @@ def split_importance(forecaster: Forecaster, spark) -> DataFrame:
 def date_folds(df: DataFrame, folds: int = FOLDS) -> DataFrame:
     """Add ``fold``: consecutive groups of dates of equal number."""
     days = df.select("date").distinct()
-    # One row per date: a small ordered window and a broadcast bounded by the calendar.
+    # One row per date: a small ordered window.
     order = Window.orderBy("date")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = (F.row_number().over(order) - 1) * folds
     days = days.select("date", F.floor(place / F.count("*").over(whole)).cast("int").alias("fold"))
-    return df.join(F.broadcast(days), "date")
+    return df.join(broadcast_up_to(days, days.count()), "date")
 
 
 @dataclass

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from barloom.operators.blocks import broadcast_up_to
 from barloom.operators.calendar import TradingCalendar
 from barloom.sources.schema import BAR_SCHEMA, bars_first, require_columns
 
@@ -55,7 +56,8 @@ def bars_between(bars: DataFrame, calendar: TradingCalendar, start: int | str, e
     small calendar then drops days that are not trading days.
     """
     start, end = int(start), int(end)
-    days = F.broadcast(calendar.range(start, end).select(F.col("trading_day").alias("date")))
+    days = calendar.range(start, end).select(F.col("trading_day").alias("date"))
+    days = broadcast_up_to(days, end - start + 1)
     return bars.where(F.col("date").between(start, end)).join(days, "date", "left_semi").select(*bars.columns)
 
 
@@ -78,14 +80,14 @@ def read_day_file(spark: SparkSession, path: str, date: int | str | None = None)
     return bars_first(df.withColumn("date", F.lit(int(date)).cast("int")))
 
 
-def write_bars(bars: DataFrame, root: str, mode: str = "error") -> None:
-    """Date-partitioned Parquet.
+def write_by_date(table: DataFrame, root: str, mode: str = "error") -> None:
+    """Bars or features as date-partitioned Parquet.
 
     Rows of one day are spread over several tasks by symbol, so a large day does
     not pass through one writer; AQE splits a hot symbol's share further.
     """
     (
-        bars.hint("rebalance", "date", "symbol")
+        table.hint("rebalance", "date", "symbol")
         .sortWithinPartitions("date", "symbol", "interval")
         .write.mode(mode)
         .partitionBy("date")

@@ -52,7 +52,7 @@ def bars_from_events(events: DataFrame) -> DataFrame:
     return bars.withColumn("midpx", (F.col("bid0") + F.col("ask0")) / 2)
 
 
-def forward_return(bars: DataFrame, lead: int = LABEL_LEAD, max_rows: int = MAX_ROWS) -> DataFrame:
+def forward_return(bars: DataFrame, lead: int = LABEL_LEAD, max_rows: int | None = MAX_ROWS) -> DataFrame:
     """Add the label: return of ``midpx`` over the next ``lead`` bars of the symbol."""
     s = series(bars, after=lead, max_rows=max_rows)
     ahead = F.lead("midpx", lead).over(s.window())

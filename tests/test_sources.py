@@ -4,7 +4,7 @@ import pytest
 from barloom.operators.calendar import TradingCalendar
 from barloom.plans.engine import Engine
 from barloom.sources.bars import (
-    bars_between, bars_of_symbol, load_day, load_days, open_bars, read_day_file, write_bars,
+    bars_between, bars_of_symbol, load_day, load_days, open_bars, read_day_file, write_by_date,
 )
 from barloom.sources.events import bars_from_events, labelled_bars
 from barloom.sources.schema import duplicate_keys
@@ -17,7 +17,7 @@ EVENTS = "/root/testdata/sf0.001/events.parquet"
 def stored(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("bars") / "table")
     bars = spark.createDataFrame(random_bars(symbols=3, days=5, per_day=10)).selectExpr("*", "1 as extra")
-    write_bars(bars, root)
+    write_by_date(bars, root)
     return root, bars
 
 
