@@ -17,8 +17,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from barloom.operators.calendar import TradingCalendar  # noqa: E402
 from barloom.operators.prepare import (  # noqa: E402
-    clean_bars, fit_components, minmax, price_series, volume_series,
+    clean_bars, fill_mean, fit_components, minmax, price_series, volume_series,
 )
+from barloom.operators.blocks import series  # noqa: E402
+from barloom.operators.windows import bfill, ffill  # noqa: E402
 from barloom.operators.profile import box_stats, describe, histogram, info, missing_check  # noqa: E402
 from barloom.plans.engine import Engine  # noqa: E402
 from barloom.plans.features import (  # noqa: E402
@@ -211,6 +213,11 @@ def queries() -> dict[str, Query]:
         "eda_price_series": _on_bars(price_series),
         "eda_volume_series": _on_bars(volume_series),
         "eda_clean_fill": _on_bars(lambda b: clean_bars(b).select(*KEY, *BAR_COLUMNS, F.round(LABEL, 9).alias(LABEL))),
+        "eda_clean_fill_blocked": _on_bars(
+            lambda b: clean_bars(b, max_rows=150).select(*KEY, *BAR_COLUMNS, F.round(LABEL, 9).alias(LABEL))),
+        "eda_ffill": _on_bars(lambda b: ffill(series(b), VALUES).own().select(*KEY, *VALUES)),
+        "eda_bfill": _on_bars(lambda b: bfill(series(b), VALUES).own().select(*KEY, *VALUES)),
+        "eda_fill_mean": _on_bars(lambda b: fill_mean(b, VALUES).select(*KEY, *VALUES), 6),
         "eda_clean_drop": _on_bars(lambda b: clean_bars(b, fill=False).select(*KEY, *VALUES)),
         "eda_minmax": _on_bars(_scaled, 9),
         "eda_pca_two": _on_bars(_loadings(["midpx", "tradeBuyQty"]), 6),

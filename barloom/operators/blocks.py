@@ -25,7 +25,7 @@ from pyspark.sql.window import WindowSpec
 
 from barloom.sources.schema import KEY
 
-MAX_ROWS = 8_000_000
+MAX_ROWS = 4_000_000
 BROADCAST_ROWS = 1_000_000
 
 

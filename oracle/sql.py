@@ -297,12 +297,18 @@ f_test as (select * from f where date between 20240121 and 20240131),
         "eda_price_series": f"with {BARS} select {KEY}, midpx, open, high, low, lastpx from bars",
         "eda_volume_series": f"with {BARS} select {KEY}, tradeBuyQty, tradeSellQty from bars",
         "eda_clean_fill": f"with {BARS}, {CLEAN} select {BAR_SELECT.replace('fret12', 'round(fret12, 9) + 0::double fret12')} from k",
+        "eda_ffill": f"with {BARS} select {KEY}, {', '.join(f'last_value({c} ignore nulls) over w {c}' for c in VALUES)} from bars"
+        " window w as (partition by symbol order by date, \"interval\" rows between unbounded preceding and current row)",
+        "eda_bfill": f"with {BARS} select {KEY}, {', '.join(f'first_value({c} ignore nulls) over w {c}' for c in VALUES)} from bars"
+        " window w as (partition by symbol order by date, \"interval\" rows between current row and unbounded following)",
+        "eda_fill_mean": f"with {BARS} select {KEY}, {', '.join(f'round(coalesce({c}, avg({c}) over ()), 6) + 0::double {c}' for c in VALUES)} from bars",
         "eda_clean_drop": f"with {BARS} select {BAR_SELECT} from bars where not coalesce(\"interval\" % 1000000 between 113000 and 130000, false)"
         f" and {' and '.join(f'{c} is not null' for c in VALUES)}",
         "eda_minmax": f"with {BARS}, {CLEAN}, {MINMAX} select {KEY}, {', '.join(f'round({c}, 9) + 0::double {c}' for c in VALUES)} from mm",
         "eda_pca_two": PCA2 + "select 'midpx' feature, round(x1, 6) + 0::double \"PC1\", round(x2, 6) + 0::double \"PC2\" from o"
         " union all select 'tradeBuyQty', round(y1, 6) + 0::double, round(y2, 6) + 0::double from o",
     }
+    sql["eda_clean_fill_blocked"] = sql["eda_clean_fill"]
     for name, names in families.items():
         sql[name] = features_sql(names)
     return sql
