@@ -118,9 +118,8 @@ def index_rows(s: Series) -> Series:
     i = F.row_number().over(w) - 1
     if s.blocked:
         i = i - F.sum(F.when(F.col("_own"), 0).otherwise(1)).over(w)
-    df = s.df.withColumn("_i", i.cast("bigint"))
-    df = df.withColumn("_sub", F.floor(F.col("_i") / STRETCH))
-    return s.with_df(df.withColumn("_k", F.col("_i") - F.col("_sub") * STRETCH))
+    df = s.df.select("*", i.cast("bigint").alias("_i"))
+    return s.with_df(df.selectExpr("*", f"floor(_i / {STRETCH}) as _sub", f"pmod(_i, {STRETCH}) as _k"))
 
 
 def stretch_window(s: Series):

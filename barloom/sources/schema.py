@@ -39,6 +39,14 @@ def duplicate_keys(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
+def require_unique_keys(bars: DataFrame) -> DataFrame:
+    """Raise if a key occurs twice. Shuffles the keys once; meant for new data."""
+    found = duplicate_keys(bars).limit(1).collect()
+    if found:
+        raise ValueError(f"duplicate key {tuple(found[0])[:3]}")
+    return bars
+
+
 def bars_first(df: DataFrame) -> DataFrame:
     """symbol, interval, date first, then the rest in their own order."""
     lead = ["symbol", "interval", "date"]

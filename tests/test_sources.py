@@ -7,7 +7,7 @@ from barloom.sources.bars import (
     bars_between, bars_of_symbol, load_day, load_days, open_bars, read_day_file, write_by_date,
 )
 from barloom.sources.events import bars_from_events, labelled_bars
-from barloom.sources.schema import duplicate_keys
+from barloom.sources.schema import duplicate_keys, require_unique_keys
 from support import random_bars
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -80,3 +80,11 @@ def test_events_to_bars(spark):
     assert len(p) == bars_from_events(events).count()
     want = p.groupby("symbol")["midpx"].shift(-12) / p["midpx"] - 1
     np.testing.assert_allclose(p["fret12"].astype(float), want, rtol=1e-12)
+
+
+def test_duplicate_keys(spark):
+    df = spark.createDataFrame([(1, 2, 3), (1, 2, 3), (1, 2, 4)], "symbol long, date int, interval long")
+    assert [tuple(r) for r in duplicate_keys(df).collect()] == [(1, 2, 3, 2)]
+    with pytest.raises(ValueError, match="duplicate key"):
+        require_unique_keys(df)
+    assert require_unique_keys(df.distinct()).count() == 2
