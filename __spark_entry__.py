@@ -34,6 +34,12 @@ from barloom.sources.schema import BAR_COLUMNS, KEY, LABEL  # noqa: E402
 from oracle.rounding import digits  # noqa: E402
 from oracle.sql import all_sql  # noqa: E402
 
+try:  # the training-data operators and their pipeline can be left out
+    import corpus_pipeline  # noqa: E402
+    from barloom.llm import queries as training  # noqa: E402
+except ImportError:
+    corpus_pipeline = training = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 VALUES = [*BAR_COLUMNS, LABEL]
@@ -224,8 +230,14 @@ def queries() -> dict[str, Query]:
         "eda_pca_loadings": _on_bars(_loadings(VALUES)),
         "eda_pca_scores": _on_bars(_scores),
     }
-    return named | {name: _features(names) for name, names in FAMILIES.items()}
+    named |= {name: _features(names) for name, names in FAMILIES.items()}
+    if training is not None:
+        named |= training.queries() | {"pipeline": corpus_pipeline.run}
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return all_sql(FAMILIES)
+    sql = all_sql(FAMILIES)
+    if training is not None:
+        sql |= training.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return sql
