@@ -24,6 +24,40 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_key(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(_id, _h, _text) without equal rows. ``_h`` tells rows of one id apart and is 0 if ids are unique.
+
+    With ``keep`` the other columns come along as the struct ``_keep``.
+    """
+    rows = texts(docs, id_col, text_col)
+    if keep:
+        rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+        rows = docs.select(id_key(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.struct(*rest, F.lit(0).alias("_none")).alias("_keep"))
+    if not rows.groupBy("_id").count().where("count > 1").limit(1).count():
+        return rows.withColumn("_h", F.lit(0).cast("bigint"))
+    return rows.withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_h"])
+
+
+def rebuilt(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``documents(keep=True)`` with the columns of ``docs`` again; n_chars follows the text."""
+    kinds = dict(docs.dtypes)
+    made = {id_col: public_id().cast(kinds[id_col]), text_col: F.col("_text")}
+    if "n_chars" in kinds:
+        made["n_chars"] = F.length("_text").cast(kinds["n_chars"])
+    return rows.select(*[(made[c] if c in made else F.col(f"_keep.`{c}`")).alias(c) for c in docs.columns])
+
+
+def for_each_row(result: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Repeat results of (doc_id, _h) as often as the input has the row; without _h."""
+    rows = texts(docs, id_col, text_col)
+    if not rows.groupBy("_id").count().where("count > 1").limit(1).count():
+        return result.drop("_h")
+    counted = rows.groupBy(public_id().alias("_public"), F.xxhash64("_text").alias("_tag")).count()
+    same = result["doc_id"].eqNullSafe(counted["_public"]) & (result["_h"] == counted["_tag"])
+    each = F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))
+    return result.join(counted, same).withColumn("_copy", each).drop("_copy", "count", "_public", "_tag", "_h")
+
+
 def public_id(column: str = "_id") -> Column:
     """The id as it came in."""
     return F.when(F.col(column) != NO_ID, F.col(column))

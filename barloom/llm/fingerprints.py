@@ -22,12 +22,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.llm.common import arrow, partitions, public_id, texts
-from barloom.llm.rolling import GROUP, Rolling, U64, groups
+from barloom.llm.rolling import GROUP, U64, groups, shared
 
 WIDTH = 16  # bytes in a shingle
 SCALE = 16  # one in so many hashes is retained
 
-_HASH = Rolling(6)
+_HASH = shared(6)
 
 
 def sketches(values: list[bytes], width: int = WIDTH, scale: int = SCALE) -> list[np.ndarray]:

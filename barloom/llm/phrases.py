@@ -36,16 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from barloom.llm.common import Stored, arrow, public_id, texts
-from barloom.llm.rolling import Rolling, U64, flat, groups, mix, sliding_first_minimum
+from barloom.llm.common import Stored, arrow, documents, for_each_row, public_id, rebuilt, struct
+from barloom.llm.rolling import U64, flat, groups, mix, shared, sliding_first_minimum
 
 LENGTH = 100
 TRIGGER = 20
 MANY = 4096  # phrases of one trigger that one task compares
 CHUNK = 1 << 20  # dictionary bytes put in order at a time
 
-_TRIGGERS, _PHRASES = Rolling(51), Rolling(52)
+_TRIGGERS, _PHRASES = shared(51), shared(52)
 
 # _key trigger hash, _phrase phrase hash, _start in the document, _lead bytes before the
 # trigger, _n strings of the stretch. _done: a copy already known to be one.
@@ -248,15 +249,6 @@ def repeats(docs: DataFrame, length: int = LENGTH, store: Stored | None = None)
     return known.where(~F.col("_open")).select(*stretch).unionByName(more)
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """(_id, _h, _text) without equal rows; _h tells rows of one id apart and is 0 if ids are unique."""
-    rows = texts(docs)
-    twice = rows.groupBy("_id").count().where("count > 1").limit(1).count()
-    if not twice:
-        return rows.withColumn("_h", F.lit(0).cast("bigint"))
-    return rows.withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_h"])
-
-
 def cover(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes covered by strings that start in the stretches (start, n)."""
     out: list[tuple[int, int]] = []
@@ -275,13 +267,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     doc_id, n_bytes, removed (array of byte ranges) and kept (binary: a cut may
     fall inside a character). Equal (id, text) rows come once.
     """
-    return _removed(_documents(docs), length)
+    return _removed(documents(docs), length).select(public_id().alias("doc_id"), "n_bytes", "removed", "kept")
+
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents, all columns, without repeated strings; parts of characters at a cut go as well."""
+    done = _removed(documents(docs, keep=True), length, as_text=True)
+    return rebuilt(done.withColumnRenamed("kept", "_text"), docs)
 
-def _removed(rows: DataFrame, length: int) -> DataFrame:
+
+def _removed(rows: DataFrame, length: int, as_text: bool = False) -> DataFrame:
+    """_id, _h, n_bytes, removed, kept, and _keep if the rows have it."""
     spans = repeats(rows, length).groupBy("_id", "_h").agg(F.collect_list(F.struct("_start", "_n")).alias("_spans"))
-    ddl = "_id bigint, _h bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
-    out = arrow(ddl)
+    extra = [c for c in rows.columns if c == "_keep"]
+    schema = struct(f"_id bigint, _h bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}")
+    ranges = to_arrow_schema(schema).field(3).type
+    for c in extra:
+        schema = schema.add(rows.schema[c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,25 +294,19 @@ def _removed(rows: DataFrame, length: int) -> DataFrame:
                 runs = cover([(f["_start"], f["_n"]) for f in found or []], length)
                 ends = [0, *[x for run in runs for x in run], len(body)]
                 removed.append([{"start": a, "end": b} for a, b in runs])
-                kept.append(b"".join(body[a:b] for a, b in zip(ends[::2], ends[1::2])))
+                rest = b"".join(body[a:b] for a, b in zip(ends[::2], ends[1::2]))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(removed, out.field(3).type), pa.array(kept, pa.binary()),
-            ], schema=out)
+                batch.column(0), batch.column(1), pa.array(np.diff(at)), pa.array(removed, ranges),
+                pa.array(kept, pa.string() if as_text else pa.binary()), *batch.columns[4:],
+            ], names=schema.names)
 
-    done = rows.join(spans, ["_id", "_h"], "left").select("_id", "_h", "_text", "_spans").mapInArrow(run, ddl)
-    return done.select(public_id().alias("doc_id"), "_h", "n_bytes", "removed", "kept")
+    return rows.join(spans, ["_id", "_h"], "left").select("_id", "_h", "_text", "_spans", *extra).mapInArrow(run, schema)
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row."""
-    rows = _documents(docs)
     taken = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, r: a + r["end"] - r["start"])
-    done = _removed(rows, length).select(
-        "doc_id", "_h", "n_bytes", taken.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    copies = texts(docs).groupBy("_id").count().where("count > 1")
-    if not copies.limit(1).count():
-        return done.drop("_h")
-    counted = texts(docs).groupBy(public_id().alias("doc_id"), F.xxhash64("_text").alias("_h")).count()
-    same = done["doc_id"].eqNullSafe(counted["doc_id"]) & (done["_h"] == counted["_h"])
-    each = done.join(counted, same).select(*[done[c] for c in done.columns if c != "_h"], F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("_n"))
-    return each.drop("_n")
+    done = _removed(documents(docs), length).select(
+        public_id().alias("doc_id"), "_h", "n_bytes", taken.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return for_each_row(done, docs)

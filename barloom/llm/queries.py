@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import chat, fingerprints, phrases, warc
+from barloom.llm import chat, fingerprints, knn, lines, near, packing, phrases, pieces, quality, warc
 from barloom.llm.common import arrow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +88,31 @@ select conv_id, count(*) n_turns,
 from t group by conv_id"""
 
 
-# -- 5, 6, 8 -----------------------------------------------------------------------------
+# -- the others --------------------------------------------------------------------------
+
+
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_scores(_read(spark, sf, "documents"), _read(spark, sf, "labels"))
+
+
+def op2_voronoi_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return knn.top_inner(_read(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+TOPK_SQL = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings
+  where vec_id is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id vec_id, list_inner_product(q.e, c.e)::bigint score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int "rank", vec_id, score
+from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5"""
+
+
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_phrase_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,6 +123,10 @@ def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.compare_with_next(_read(spark, sf, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.repeated_lines(_read(spark, sf, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archive_round_trip(_read(spark, sf, "pages"))
 
@@ -112,14 +141,22 @@ select page_id, payload_bytes, payload_digest,
 from p left join f using (payload_digest)"""
 
 
+def op9_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every document, and the digest of the text decoded from them."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode_documents(_read(spark, sf, "documents"), path)
+    return pieces.decode_documents(encoded, path).select("doc_id", "n_ids", "ids", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near.near_duplicates(_read(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op3_chat_format": op3_chat_format,
-        "op5_phrase_dedup": op5_phrase_dedup,
-        "op6_fingerprints": op6_fingerprints,
-        "op8_warc": op8_warc,
-    }
+    return {f.__name__: f for f in (
+        op1_quality, op2_voronoi_topk, op3_chat_format, op4_packing, op5_phrase_dedup, op6_fingerprints, op7_line_dedup, op8_warc,
+        op9_pieces, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": _chat_sql(), "op8_warc": WARC_SQL}
+    return {"op2_voronoi_topk": TOPK_SQL, "op3_chat_format": _chat_sql(), "op8_warc": WARC_SQL}

@@ -8,6 +8,7 @@ Arrow batch is hashed as one array; where a text ends is the caller's business.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ class Rolling:
     """Substring hashes under one seed. Different seeds give independent hashes."""
 
     def __init__(self, seed: int):
+        self.seed = seed
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 64, 256, dtype=np.uint64) | U64(1)
         self.base = int(rng.integers(0, 1 << 61)) * 8 + 5
@@ -40,6 +42,9 @@ class Rolling:
         self._up = np.ones(1, U64)
         self._down = np.ones(1, U64)
 
+    def __reduce__(self):
+        return shared, (self.seed,)  # a worker has one of each seed
+
     def _grow(self, n: int) -> None:
         if len(self._up) > n:
             return
@@ -60,6 +65,7 @@ class Rolling:
 
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the substrings [start, end); the length counts."""
+        self._grow(len(sums))
         raw = (sums[end] - sums[start]) * self._down[start]
         return mix(raw + (end - start).astype(U64) * self.salt)
 
@@ -68,10 +74,16 @@ class Rolling:
         n = len(sums) - 1
         if n < width:
             return np.empty(0, U64)
+        self._grow(n)
         raw = (sums[width:] - sums[: n + 1 - width]) * self._down[: n + 1 - width]
         return mix(raw + U64(width * int(self.salt) % (1 << 64)))
 
 
+@lru_cache(maxsize=64)
+def shared(seed: int) -> Rolling:
+    return Rolling(seed)
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column as one array, and the offsets of its values. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
