@@ -39,6 +39,7 @@ MIN_BYTES = 32
 
 _FIRST, _SECOND = shared(71), shared(72)
 _BITS = U64(1) << (np.random.default_rng(73).permutation(256) % 64).astype(U64)
+_PAIR_BITS = U64(1) << np.random.default_rng(74).integers(0, 64, 1 << 16).astype(U64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -63,11 +64,11 @@ def split(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return text, number, first, end
 
 
-LINE_DDL = "_id bigint, _h bigint, _no int, _line bigint, _line2 bigint, _parity bigint"
+LINE_DDL = "_id bigint, _h bigint, _no int, _line bigint, _line2 bigint, _parity bigint, _pairs bigint"
 
 
 def lines(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Every line that takes part: 128 bits of hash, and which bytes occur an odd number of times (in 64 classes)."""
+    """Every line that takes part: 128 bits of hash, and which bytes and which pairs of bytes occur an odd number of times (in 64 classes)."""
     out = arrow(LINE_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +84,12 @@ def lines(rows: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                 text, number, s, e = (x[long] for x in (text, number, s, e))
                 hashes = [h.of(h.prefix(body), s, e).view(np.int64) for h in (_FIRST, _SECOND)]
                 parity = np.bitwise_xor.reduceat(np.append(_BITS[body], U64(0)), np.stack([s, e], 1).ravel())[::2]
+                twos = _PAIR_BITS[body[:-1].astype(np.int64) * 256 + body[1:]]
+                pairs = np.bitwise_xor.reduceat(np.append(twos, U64(0)), np.stack([s, e - 1], 1).ravel())[::2]
+                pairs[e - s < 2] = 0
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[lo:hi][text]), pa.array(tags[lo:hi][text]), pa.array(number.astype(np.int32)),
-                    *map(pa.array, hashes), pa.array(parity.view(np.int64)),
+                    *map(pa.array, hashes), pa.array(parity.view(np.int64)), pa.array(pairs.view(np.int64)),
                 ], schema=out)
 
     return rows.select("_id", "_h", "_text").mapInArrow(run, LINE_DDL)
@@ -256,23 +260,25 @@ def _classes(rows: DataFrame, edits: int, min_bytes: int, store: Stored) -> Data
     """Every line that takes part with the first line of its class: _id, _h, _no, _first (struct of the same)."""
     every = store.keep(lines(rows, min_bytes))
     place = F.struct("_id", "_h", "_no")
-    distinct = store.keep(every.groupBy("_line").agg(F.min(place).alias("_first"), F.any_value("_parity").alias("_parity")))
-    met = store.keep(_meetings(signatures(rows, edits, min_bytes)).join(distinct.select("_line", "_parity"), "_line"))
+    distinct = store.keep(every.groupBy("_line").agg(F.min(place).alias("_first"), F.any_value("_parity").alias("_parity"), F.any_value("_pairs").alias("_pairs")))
+    met = store.keep(_meetings(signatures(rows, edits, min_bytes)).join(distinct.select("_line", "_parity", "_pairs"), "_line"))
     bodies = store.keep(_bodies(rows, distinct.select("_line", "_first").join(met.select("_line").distinct(), "_line")))
-    near = F.bit_count(F.col("_pa").bitwiseXOR(F.col("_pb"))) <= 2 * edits
-    left = met.where("_own").select("_key", F.col("_line").alias("_a"), F.col("_parity").alias("_pa"))
-    right = met.select("_key", F.col("_line").alias("_b"), F.col("_parity").alias("_pb"))
-    hubs = left.groupBy("_key").agg(F.min(F.struct("_a", "_pa")).alias("_hub")).select("_key", "_hub.*")
+    # An edit changes the parity of at most two bytes and of at most four pairs of bytes.
+    near = (F.bit_count(F.col("_pa").bitwiseXOR(F.col("_pb"))) <= 2 * edits) & (F.bit_count(F.col("_qa").bitwiseXOR(F.col("_qb"))) <= 4 * edits)
+    side = lambda x: [F.col("_line").alias(f"_{x}"), F.col("_parity").alias(f"_p{x}"), F.col("_pairs").alias(f"_q{x}")]
+    left = met.where("_own").select("_key", *side("a"))
+    right = met.select("_key", *side("b"))
+    hubs = left.groupBy("_key").agg(F.min(F.struct("_a", "_pa", "_qa")).alias("_hub")).select("_key", "_hub.*")
     pair = [F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")]
     stars = store.keep(hubs.join(right, "_key").where((F.col("_a") != F.col("_b")) & near).select(*pair).distinct())
     links = store.keep(_verify(stars, bodies, edits))
     found = components(links, store)
-    part = lambda side: F.coalesce("_component", side)
-    named = met.join(found, F.col("_line") == F.col("_node"), "left").select("_key", "_line", "_own", "_parity", part("_line").alias("_c"))
+    part = lambda line: F.coalesce("_component", line)
+    named = met.join(found, F.col("_line") == F.col("_node"), "left").select("_key", "_line", "_own", "_parity", "_pairs", part("_line").alias("_c"))
     named = store.keep(named)
     mixed = named.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_key")
-    left = named.where("_own").join(mixed, "_key").select("_key", F.col("_line").alias("_a"), F.col("_parity").alias("_pa"), F.col("_c").alias("_ca"))
-    right = named.select("_key", F.col("_line").alias("_b"), F.col("_parity").alias("_pb"), F.col("_c").alias("_cb"))
+    left = named.where("_own").join(mixed, "_key").select("_key", *side("a"), F.col("_c").alias("_ca"))
+    right = named.select("_key", *side("b"), F.col("_c").alias("_cb"))
     cross = left.join(right, "_key").where((F.col("_ca") != F.col("_cb")) & near).select(*pair).distinct()
     cross = store.keep(cross.join(stars, ["_a", "_b"], "left_anti"))
     more = store.keep(_verify(cross, bodies, edits))
