@@ -45,28 +45,59 @@ _ODD = re.compile("[\x1c-\x1f]")  # white space for Python, not for the tokenize
 _BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
+# Chunks of these characters only are split and lowered here as the tokenizer would, without going through all its steps.
+_SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ.,]+")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[.,]+")
+
+
+class Remembered(dict):
+    """Results of ``make``; the older half is forgotten when there are too many."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most // 2, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids as little-endian 32-bit bytes.
 
     The tokenizer never joins what white space separates, and drops white space
     itself; so a text's ids are those of its chunks, and a chunk met before is
-    looked up. The tokenizer itself gives the ids of every new chunk.
+    looked up. The tokenizer itself gives the ids of every new chunk, its merge
+    model those of a new word in a chunk of plain letters.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        encode, merge = whole.encode, whole.model.tokenize
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the merge model
+        rest = [b for b in range(256) if b not in set(plain)]
+        signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+        def of_word(word: str) -> bytes:
+            return np.array([t.id for t in merge("".join([signs[b] for b in word.encode()]))], "<u4").tobytes()
+
+        words = Remembered(of_word, memo)
 
-        class Known(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                if len(self) >= memo:
-                    self.clear()
-                ids = self[chunk] = np.array(encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-                return ids
+        def of_chunk(chunk: str) -> bytes:
+            if _SIMPLE.fullmatch(chunk):
+                return b"".join(map(words.__getitem__, _PARTS.findall(chunk.lower())))
+            return np.array(encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-        self.known = Known()
+        self.known = Remembered(of_chunk, 2 * memo)
 
     def __call__(self, text: str) -> bytes:
         chunks = _BLANK.split(text) if _ODD.search(text) else text.split()
