@@ -183,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
     phases = rng.uniform(0, 2 * np.pi, features)
     plain = Model(mean, spread, directions, phases, np.zeros(1 + width + features), (np.array([LOWEST, HIGHEST]), np.full(2, 0.5)))
     if not n or rate in (0.0, 1.0):
-        return Model(*[getattr(plain, f) for f in ("mean", "spread", "directions", "phases", "weights")],
-                     (np.array([LOWEST, HIGHEST]), np.full(2, 0.5 if not n else rate)))
+        constant = np.zeros(1 + width + features)
+        constant[0] = 0.5
+        return Model(mean, spread, directions, phases, constant, (np.array([LOWEST, HIGHEST]), np.full(2, 0.5 if not n else rate)))
     spare = F.pmod(F.xxhash64("_id", F.lit("spare")), F.lit(4)) == 0  # calibrates
     size = 1 + width + features
     sums_ddl = "_i int, _g array<double>"
