@@ -151,7 +151,7 @@ def _forecast(model) -> Callable[[DataFrame], DataFrame]:
 
 
 def _importance(bars: DataFrame) -> DataFrame:
-    engine = _engine(bars, BoostedTrees(list(FEATURE_NAMES), settings=dict(maxIter=10))).fit(*TRAIN)
+    engine = _engine(bars, BoostedTrees(list(FEATURE_NAMES))).fit(*TRAIN)
     return split_importance(engine.model, bars.sparkSession)
 
 

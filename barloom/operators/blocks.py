@@ -44,6 +44,7 @@ class Series:
 
     df: DataFrame
     blocks: int = 0
+    big: DataFrame | None = None  # the symbols that are cut, no more than blocks
 
     @property
     def blocked(self) -> bool:
@@ -57,7 +58,11 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy("date", "interval")
 
     def with_df(self, df: DataFrame) -> "Series":
-        return Series(df, self.blocks)
+        return Series(df, self.blocks, self.big)
+
+    def cut(self) -> DataFrame:
+        """Original rows of the symbols that are cut into blocks; only they hand anything on."""
+        return self.df.where("_own").join(broadcast_up_to(self.big, self.blocks), "symbol", "left_semi")
 
     def own(self) -> DataFrame:
         return self.df.where("_own").drop("_own") if self.blocked else self.df
@@ -114,7 +119,7 @@ def place(bars: DataFrame, layout: Layout | None) -> Series:
         .withColumn("_own", F.col("_pos") == 0)
         .drop("_pos")
     )
-    return Series(placed, layout.blocks)
+    return Series(placed, layout.blocks, layout.table.select("symbol").distinct())
 
 
 def _layout(bars, days, max_rows, target, slice_days, before, after) -> DataFrame:

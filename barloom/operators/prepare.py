@@ -73,18 +73,24 @@ def clean_bars(bars: DataFrame, fill: bool = True, max_rows: int | None = MAX_RO
 
 
 def minmax(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Scale columns to [0, 1] by their extremes over df; a constant column becomes 0.
+    """Scale columns to [0, 1] by their extremes over df; a constant column becomes 0, infinities are missing.
 
-    One aggregate finds the extremes; the scaling itself is a projection.
+    One aggregate finds the extremes; the scaling itself is a projection, on halves,
+    whose differences cannot overflow.
     """
     columns = numeric_columns(df, ("symbol", "interval")) if columns is None else columns
-    ends = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in columns]).first()
+
+    def half(c: str):
+        value = F.col(f"`{c}`").cast("double")
+        return F.when(F.abs(value) < float("inf"), value / 2)  # NaN is above every number
+
+    ends = df.agg(*[F.struct(F.min(half(c)).alias("lo"), F.max(half(c)).alias("hi")).alias(c) for c in columns]).first()
 
     def scaled(c: str):
         lo, hi = ends[c]
         if lo is None:
             return F.lit(None).cast("double")
-        return F.expr(f"({c} - {lo!r}D) / {hi - lo!r}D") if hi > lo else F.expr(f"if({c} is not null, 0D, null)")
+        return (half(c) - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.when(half(c).isNotNull(), 0.0)
 
     return df.withColumns({c: scaled(c) for c in columns})
 

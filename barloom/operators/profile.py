@@ -94,10 +94,10 @@ def box_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         lo, hi = q1 - WHISKER * (q3 - q1), q3 + WHISKER * (q3 - q1)
         rows[c] = [
             F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
-            F.expr(f"least(min(if({c} >= {lo!r}D, {c}, null)), {q1!r}D)").alias("whisker_low"),
-            F.expr(f"greatest(max(if({c} <= {hi!r}D, {c}, null)), {q3!r}D)").alias("whisker_high"),
-            F.expr(f"count_if({c} < {lo!r}D)").alias("outliers_low"),
-            F.expr(f"count_if({c} > {hi!r}D)").alias("outliers_high"),
+            F.expr(f"least(min(if(`{c}` >= {lo!r}D, `{c}`, null)), {q1!r}D)").alias("whisker_low"),
+            F.expr(f"greatest(max(if(`{c}` <= {hi!r}D, `{c}`, null)), {q3!r}D)").alias("whisker_high"),
+            F.expr(f"count_if(`{c}` < {lo!r}D)").alias("outliers_low"),
+            F.expr(f"count_if(`{c}` > {hi!r}D)").alias("outliers_high"),
         ]
     return _per_column(df, rows)
 

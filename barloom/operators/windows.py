@@ -10,7 +10,8 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from barloom.operators.blocks import Series, broadcast_up_to
 
 # Rows per stretch of the ewm scan. Both decays in use are below 1e-29 after one
-# stretch, so the one before the last cannot be seen in a double.
+# stretch, so relative to a present value, which has weight 1, the stretch before the
+# last cannot be seen in a double.
 STRETCH = 1024
 
 # pandas' results for a window of equal values, and the variance
@@ -176,7 +177,12 @@ def ewm(s: Series, specs: dict[str, tuple[str, float]]) -> Series:
         df = df.join(carry, s.keys, "left").selectExpr(*keep, *arrived, *[
             f"_{p}_{out} + coalesce(_in{p}_{out}, 0D) * pow({d!r}D, _i + 1) as _{p}_{out}" for p, out, d, _ in parts
         ])
-    df = df.selectExpr(*keep, *arrived, *[f"if(_d_{out} > 0, _n_{out} / _d_{out}, null) as _e_{out}" for out in specs])
+    # Only a present row gets a value of its own: its weight is 1, so what was dropped cannot be
+    # seen in it. Across a gap the last one is repeated; there the sums have faded away.
+    live = " and _own" if s.blocked else ""
+    df = df.selectExpr(*keep, *arrived, *[
+        f"if({c} is not null{live}, try_divide(_n_{out}, _d_{out}), null) as _e_{out}" for out, (c, _) in specs.items()
+    ])
     df = df.select("*", *[F.expr(f"last(_e_{out}, true)").over(so_far).alias(f"_l_{out}") for out in specs])
     return s.with_df(df.selectExpr(*keep, *[
         (f"coalesce(_l_{out}, _ine_{out})" if s.blocked else f"_l_{out}") + f" as {out}" for out in specs
@@ -187,13 +193,13 @@ def _ewm_carry(s: Series, specs: dict[str, tuple[str, float]]) -> DataFrame:
     """Incoming (n, d, e) of each block, from one summary row per block.
 
     The summary holds the weighted sums as of the last present value of the
-    block; only the STRETCH rows up to it can be seen in them. A symbol has
+    block; only the STRETCH rows up to it can be seen in them, since that value has weight 1. A symbol has
     rows / max_rows summaries, so the scan over them is short however long the
     series is.
     """
     whole = Window.partitionBy(*s.keys)
     columns = sorted({c for c, _ in specs.values()})
-    marked = s.df.where("_own").select(
+    marked = s.cut().select(
         *s.keys, "_i", *columns, *[F.expr(f"max(if({c} is not null, _i, null))").over(whole).alias(f"_at_{c}") for c in columns]
     )
     sums = []
@@ -282,7 +288,7 @@ def _fill(s: Series, columns, so_far, edge, block_order) -> Series:
     # One row per block with its outermost present values, then the nearest of them
     # on the far side of the block.
     place = F.struct("date", "interval")
-    ends = s.df.where("_own").groupBy(*s.keys).agg(
+    ends = s.cut().groupBy(*s.keys).agg(
         *[edge(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns]
     )
     across = Window.partitionBy("symbol").orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)

@@ -170,3 +170,12 @@ def test_series_views(bars):
     assert price_series(bars).columns == [*KEY, "midpx", "open", "high", "low", "lastpx"]
     rows = [tuple(r) for r in volume_series(bars).select(*KEY).collect()]
     assert rows == sorted(rows)
+
+
+def test_minmax_of_wide_infinite_and_oddly_named_columns(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, -1.7e308, 3.0), (inf, 1.7e308, 3.0), (2.0, 0.0, None)], "`a b` double, wide double, same double")
+    got = minmax(df, df.columns).collect()
+    assert [r["a b"] for r in got] == [0.0, None, 1.0]
+    assert [r["wide"] for r in got] == [0.0, 1.0, 0.5]
+    assert [r["same"] for r in got] == [0.0, 0.0, None]

@@ -102,3 +102,29 @@ def test_lead_over_blocks(spark):
     got = forward_return(df, max_rows=300).toPandas().sort_values(KEY)["fret12"].to_numpy()
     want = (pdf.groupby("symbol")["x"].shift(-12) / pdf["x"] - 1).to_numpy()
     np.testing.assert_allclose(got, want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("gap", [1023, 1024, 1025, 2974])
+@pytest.mark.parametrize("max_rows", [None, 500, 4000])
+def test_ewm_gap_over_stretches(spark, gap, max_rows):
+    """A gap repeats the last present value, wherever in a stretch it begins."""
+    frames = []
+    for s, start in enumerate([0, 1, 7, 1020, 1023, 1024, 1026]):
+        x = 100 + np.random.default_rng(s).normal(size=6000)
+        x[start : start + gap] = np.nan
+        frames.append(pd.DataFrame({"symbol": s, "date": 20240101 + np.arange(6000) // 240, "interval": np.arange(6000) % 240, "x": x}))
+    pdf = pd.concat(frames, ignore_index=True)
+    got = run_ewm(spark, pdf, max_rows)
+    for name, kw in (("a", {"halflife": 5}), ("b", {"span": 30})):
+        want = pdf.groupby("symbol", group_keys=False)["x"].apply(lambda x: x.ewm(**kw).mean()).to_numpy()
+        np.testing.assert_allclose(got[name].to_numpy(float), want, rtol=1e-10)
+
+
+def test_carry_holds_only_cut_symbols(spark):
+    """One big symbol and many small ones: what is handed on stays within the number of blocks."""
+    rows = spark.range(400).selectExpr("0L symbol", "20240101 date", "id interval", "double(id) x").unionByName(
+        spark.range(3000).selectExpr("id + 1 symbol", "20240101 date", "0L interval", "double(id) x"))
+    s = index_rows(series(rows, before=2, max_rows=100))
+    assert s.cut().select("symbol", "_blk").distinct().count() <= s.blocks
+    assert s.cut().select("symbol").distinct().count() == 1
+    assert ffill(s, ["x"]).own().count() == 3400
