@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from barloom.llm.common import NO_ID, Stored, arrow, id_key
+from barloom.llm.common import NO_ID, Stored, arrow, id_key, partitions
 
 END = "\r\n\r\n"  # after each record
 MIN_REVISIT = 100  # bytes; smaller payloads are always stored
@@ -155,7 +155,7 @@ def read_records(index: DataFrame, path: str, gap: int = GAP, most: int = READ)
         F.sort_array(F.collect_list(F.struct("offset", "length", "_id"))).alias("_records"),
     )
     reads = reads.join(names, "_archive").select("_archive", "_file", "_from", "_to", "_records")
-    reads = reads.repartition("_archive", "_from").sortWithinPartitions("_archive", "_from")
+    reads = reads.repartition(partitions(spark), "_archive", "_from").sortWithinPartitions("_archive", "_from")
     ranged = _reachable(files)
     if not ranged:
         whole = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("_name"), "content")
