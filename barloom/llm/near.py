@@ -15,10 +15,12 @@ offsets that so similar sequences can have.
 
 Equal word sequences are one text from the start. Every text in a bucket is first
 compared with the bucket's most central text only; then, in buckets that still
-hold several components, texts of different components that share ``CONFIRM``
-tuples. A large group so costs one comparison for each member. Two texts with
-similarity 0.8 share a tuple in about half of the 16 functions: none with probability
-2e-5, fewer than 3 with 0.002, which only matters if no chain of links joins them.
+hold several components, texts of different components whose parities allow the
+similarity. A parity holds, for each of ``PARITY`` classes of k-mers, whether their
+number is odd; where two parities differ, so do the k-mers, so no pair is lost by it,
+and it rules out nearly all pairs of alike but unlinked texts of up to some 2,000 words.
+Two texts with similarity 0.8 share a tuple in about half of the 16 functions: none
+with probability 2e-5, which only matters if no chain of links joins them.
 
 Cases: null and empty texts, and texts of white space, are equal; a text of up to
 K words is one k-mer; rows with the same id and different texts are documents of
@@ -29,10 +31,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.common import Stored, arrow, documents, for_each_row, public_id, rebuilt
 from barloom.llm.components import components
@@ -42,7 +46,7 @@ K = 5  # words
 SIMILARITY = 0.8
 FUNCTIONS = 16
 PICK = 3
-CONFIRM = 3  # tuples that texts must share to be compared beyond the bucket's central text
+PARITY = 1024  # bits, a multiple of 64
 
 _WORDS = shared(101)
 _WEIGHTS = np.random.default_rng(102).integers(0, 1 << 64, 64, dtype=np.uint64) | U64(1)
@@ -109,9 +113,24 @@ def order_minhash(found: np.ndarray, at: np.ndarray, functions: int = FUNCTIONS,
     return keys
 
 
+def parities(found: np.ndarray, at: np.ndarray, bits: int = PARITY) -> np.ndarray:
+    """One row per text: the bits of the classes that hold an odd number of its k-mers."""
+    out = np.zeros((len(at) - 1, bits // 64), U64)
+    place = mix(found ^ _SEEDS[253]) % U64(bits)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    np.bitwise_xor.at(out, (text, (place >> U64(6)).astype(np.int64)), U64(1) << (place & U64(63)))
+    return out
+
+
+def may_align(a: str, b: str, na: str, nb: str, similarity: float) -> Column:
+    """Whether two parities leave room for the similarity: m of n_a and n_b k-mers matched leave n_a + n_b - 2 m unmatched."""
+    differ = reduce(add, [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY // 64)])
+    return differ <= (F.col(na) + F.col(nb)) * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 def sketch(rows: DataFrame, functions: int = FUNCTIONS) -> DataFrame:
-    """_t1, _t2 (128 bits of the word sequence), _n k-mers and _keys of each document (_id, _h, _text)."""
-    ddl = "_id bigint, _h bigint, _t1 bigint, _t2 bigint, _n int, _keys array<bigint>"
+    """_t1, _t2 (128 bits of the word sequence), _n k-mers, _keys and _parity of each document (_id, _h, _text)."""
+    ddl = "_id bigint, _h bigint, _t1 bigint, _t2 bigint, _n int, _keys array<bigint>, _parity array<bigint>"
     out = arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +148,11 @@ def sketch(rows: DataFrame, functions: int = FUNCTIONS) -> DataFrame:
                 n = np.diff(each)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, functions, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel()))
+                odd = pa.ListArray.from_arrays(
+                    pa.array(np.arange(hi - lo + 1, dtype=np.int32) * (PARITY // 64)), pa.array(parities(found, each).view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sums[0]), pa.array(sums[1]),
-                    pa.array(n.astype(np.int32)), lists.cast(out.field(5).type),
+                    pa.array(n.astype(np.int32)), lists.cast(out.field(5).type), odd.cast(out.field(6).type),
                 ], schema=out)
 
     return rows.select("_id", "_h", "_text").mapInArrow(run, ddl)
@@ -209,8 +230,9 @@ def _classes(rows: DataFrame, similarity: float, functions: int) -> DataFrame:
     made = store.keep(sketch(rows, functions))
     # One row per text, named by its first document.
     distinct = store.keep(made.groupBy("_t1", "_t2").agg(
-        F.min(F.struct("_id", "_h")).alias("_doc"), F.any_value("_n").alias("_n"), F.any_value("_keys").alias("_keys")
-    ).select("_t1", "_t2", "_doc", F.when(F.col("_doc._h") == 0, F.col("_doc._id")).otherwise(F.xxhash64("_doc._id", "_doc._h")).alias("_node"), "_n", "_keys"))
+        F.min(F.struct("_id", "_h")).alias("_doc"), F.any_value("_n").alias("_n"), F.any_value("_keys").alias("_keys"),
+        F.any_value("_parity").alias("_parity")
+    ).select("_t1", "_t2", "_doc", F.when(F.col("_doc._h") == 0, F.col("_doc._id")).otherwise(F.xxhash64("_doc._id", "_doc._h")).alias("_node"), "_n", "_keys", "_parity"))
     # Buckets with several texts. A text's own functions can agree on a key: once is enough.
     shown = distinct.select(F.explode(F.array_distinct("_keys")).alias("_key"), "_node", "_n")
     sizes = shown.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
@@ -227,19 +249,13 @@ def _classes(rows: DataFrame, similarity: float, functions: int) -> DataFrame:
     bodies = store.keep(rows.select(node.alias("_node"), "_text").join(wanted, "_node", "left_semi"))
     links = store.keep(verify(stars, bodies, similarity))
     found = components(links, store)
-    # Buckets that still hold several components: texts of different ones that share
-    # more tuples. Keys of two functions of one half find all that share CONFIRM of them.
-    named = members.select("_key", "_node").join(found, "_node", "left").select("_key", "_node", F.coalesce("_component", "_node").alias("_component"))
+    # Buckets that still hold several components: texts of different ones.
+    named = members.join(found, "_node", "left").select("_key", "_node", "_n", F.coalesce("_component", "_node").alias("_component"))
     mixed = named.groupBy("_key").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where("_lo <> _hi").select("_key")
-    open_ = named.join(mixed, "_key").select("_node", "_component").distinct().join(distinct.select("_node", "_n", "_keys"), "_node")
-    half = functions // 2
-    twos = [F.xxhash64(F.lit(i), F.lit(j), F.col("_keys")[i], F.col("_keys")[j]) for h in (0, half) for i in range(h, h + half) for j in range(i + 1, h + half)]
-    paired = store.keep(open_.select(F.explode(F.array(*twos)).alias("_two"), "_node", "_n", "_component", "_keys"))
-    several = paired.groupBy("_two").agg(F.min("_component").alias("_lo"), F.max("_component").alias("_hi")).where("_lo <> _hi").select("_two")
-    paired = paired.join(several, "_two")
-    sides = [paired.select("_two", F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_component").alias(f"_c{x}"), F.col("_keys").alias(f"_k{x}")) for x in "ab"]
-    enough = F.size(F.array_intersect("_ka", "_kb")) >= CONFIRM
-    cross = sides[0].join(sides[1], "_two").where((F.col("_ca") != F.col("_cb")) & (F.col("_a") < F.col("_b")) & pair_ok & enough).select("_a", "_b").distinct()
+    open_ = store.keep(named.join(mixed, "_key").join(distinct.select("_node", "_parity"), "_node"))
+    sides = [open_.select("_key", F.col("_node").alias(f"_{x}"), F.col("_n").alias(f"_n{x}"), F.col("_component").alias(f"_c{x}"), F.col("_parity").alias(f"_p{x}")) for x in "ab"]
+    apart = (F.col("_ca") != F.col("_cb")) & (F.col("_a") < F.col("_b"))
+    cross = sides[0].join(sides[1], "_key").where(apart & pair_ok & may_align("_pa", "_pb", "_na", "_nb", similarity)).select("_a", "_b").distinct()
     tried = stars.select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b"))
     cross = store.keep(cross.join(tried, ["_a", "_b"], "left_anti"))
     more = store.keep(verify(cross, bodies, similarity))

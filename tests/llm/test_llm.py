@@ -440,3 +440,21 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     encode = Tokenizer.from_file(WORD_BPE).encode
     assert ids == {i: len(encode(t, add_special_tokens=False).ids) + 1 for i, t in texts_of(inputs[4])}
     assert corpus_pipeline.run(spark, sf).count() == inputs[5].count()
+
+
+def test_parities_never_rule_out_an_alignment():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    seqs = [base[:0]]
+    for edits in range(80):
+        one = base.copy()
+        one[rng.choice(300, edits, replace=False)] = rng.integers(0, 1 << 63, edits, dtype=np.uint64)
+        seqs.append(one[rng.integers(0, 20):])
+    odd = near.parities(np.concatenate(seqs), np.concatenate([[0], np.cumsum([len(s) for s in seqs])]))
+    ruled_out = 0
+    for a, p in zip(seqs, odd):
+        for b, q in zip(seqs, odd):
+            fits = int(np.bitwise_count(p ^ q).sum()) <= (len(a) + len(b)) * (0.2 / 1.8) + 1e-6
+            assert fits or not near.aligned(a, b, 0.8)
+            ruled_out += not fits
+    assert ruled_out > 1000 and not odd[0].any()
