@@ -189,21 +189,24 @@ def verify(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     ddl = "_a bigint, _b bigint"
     out = arrow(ddl)
 
-    def of(text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode(), np.uint8)
-        return kmers(*word_hashes(data, np.array([0, len(data)])))[0]
+    def of(column: pa.Array) -> Iterator[np.ndarray]:
+        """k-mers of each text, a group of texts at a time."""
+        data, at = flat(column)
+        for lo, hi in groups(at, 2 << 20):
+            found, each = kmers(*word_hashes(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))
+            yield from (found[each[i] : each[i + 1]] for i in range(hi - lo))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)  # a hub comes many times in a row
         for batch in batches:
-            hits = []
-            for a, b, tb, ta in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
-                if held[0] != a.as_py():
-                    held = (a.as_py(), of(ta.as_py()))
-                if aligned(held[1], of(tb.as_py()), similarity):
-                    hits.append((a.as_py(), b.as_py()))
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits)], schema=out)
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.append(True, a[1:] != a[:-1])[: len(a)]  # a hub comes many times in a row
+            hubs, now, hits = of(batch.column(3).filter(pa.array(new))), np.empty(0, U64), np.zeros(len(a), bool)
+            for i, body in enumerate(of(batch.column(2))):
+                if new[i]:
+                    now = next(hubs)
+                hits[i] = aligned(now, body, similarity)
+            if hits.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[hits]), pa.array(b[hits])], schema=out)
 
     both = pairs.join(right, "_b").join(left, "_a").select("_a", "_b", "_tb", "_ta")
     return both.mapInArrow(run, ddl)
