@@ -34,7 +34,7 @@ LENGTH = 2048
 END = 1  # id that ends each document
 STEP = 4  # tokens between two length classes
 SALTS = 256
-MEMO = 400_000  # chunks of text whose ids a worker remembers
+MEMO = 800_000  # words, and half the chunks of text, whose ids a worker remembers (up to some 500 MB)
 ROUNDS = 4000  # columns the linear program may take in
 NEAR = 1e-3  # the program ends this close to its optimum, relatively
 CUT = 0.02  # price of a cut, in sequences
