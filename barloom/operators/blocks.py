@@ -12,8 +12,10 @@ blocks of about that many consecutive rows instead, and windows cluster on
   of each block is handed to the next (see ``ewm`` and ``fill``).
 
 The cut points come from counts per (symbol, date), and per slice of a date
-where one date alone is too big. All of it is integer arithmetic on keys, so a
-recomputed task sees the same blocks.
+where one date alone is too big. Slices end at quantiles of the date's intervals, so
+unevenly spaced rows make no big slice. Quantiles come from a sketch, whose result
+depends on the order of merging; they are checkpointed, and all else is integer
+arithmetic on keys, so a recomputed task sees the same blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
+from barloom.session import checkpointed
 from barloom.sources.schema import KEY
 
 MAX_ROWS = 4_000_000
 BROADCAST_ROWS = 1_000_000
+# A row's slice within its day: the number of cuts before it; a day without cuts is one slice.
+SLICE = "if(_cuts is null, 0L, cast(size(filter(_cuts, c -> c < interval)) as bigint))"
 
 
 @dataclass(frozen=True)
@@ -88,9 +93,7 @@ def find_layout(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int
     bars = bars.where(F.col("symbol").isNotNull())
     if max_rows is None or (bars.groupBy("symbol").count().agg(F.max("count")).first()[0] or 0) <= max_rows:
         return None
-    days = bars.groupBy("symbol", "date").agg(
-        F.count("*").alias("n"), F.min("interval").alias("lo"), F.max("interval").alias("hi")
-    )
+    days = bars.groupBy("symbol", "date").agg(F.count("*").alias("n"))
     big = (
         days.groupBy("symbol")
         .agg(F.sum("n").alias("total"), F.max("n").alias("day"), F.count("*").alias("days"))
@@ -99,7 +102,7 @@ def find_layout(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int
         .first()
     )
     target = max(1, max_rows // 4)
-    table = _layout(bars, days, max_rows, target, big["day"] > target, before, after)
+    table = _layout(bars, days, max_rows, target, big["day"], before, after)
     return Layout(table, big["days"], big["blocks"])
 
 
@@ -113,7 +116,7 @@ def place(bars: DataFrame, layout: Layout | None) -> Series:
         return Series(bars)
     placed = (
         bars.join(broadcast_up_to(layout.table, layout.days), ["symbol", "date"], "left")
-        .withColumn("_slice", F.expr("coalesce((interval - _lo) div _width, 0)"))
+        .withColumn("_slice", F.expr(SLICE))
         .withColumn("_dest", F.coalesce(F.expr("_dests[cast(_slice as int)]"), F.array(F.lit(0).cast("bigint"))))
         .select(*bars.columns, F.posexplode("_dest").alias("_pos", "_blk"))
         .withColumn("_own", F.col("_pos") == 0)
@@ -122,33 +125,31 @@ def place(bars: DataFrame, layout: Layout | None) -> Series:
     return Series(placed, layout.blocks, layout.table.select("symbol").distinct())
 
 
-def _layout(bars, days, max_rows, target, slice_days, before, after) -> DataFrame:
-    """(symbol, date, _lo, _width, _dests) for each day of a symbol above ``max_rows``.
+def _layout(bars, days, max_rows, target, longest, before, after) -> DataFrame:
+    """(symbol, date, _cuts, _dests) for each day of a symbol above ``max_rows``.
 
-    ``_dests[slice]`` lists the blocks a slice goes to, its own block first. A
-    row's slice is ``(interval - _lo) div _width``; small days are one slice.
+    ``_dests[slice]`` lists the blocks a slice goes to, its own block first.
     """
     of_symbol = Window.partitionBy("symbol")
-    pieces = F.ceil(F.col("n") * 4 / F.lit(target)) if slice_days else F.lit(1)
-    days = (
-        days.withColumn("_total", F.sum("n").over(of_symbol))
-        .where(F.col("_total") > max_rows)
-        .select(
-            "symbol", "date", "n", F.col("lo").alias("_lo"),
-            F.when(F.col("n") <= target, F.col("hi") - F.col("lo") + 1)
-            .otherwise(F.ceil((F.col("hi") - F.col("lo") + 1) / pieces)).cast("bigint").alias("_width"),
-        )
-    )
-    if slice_days:
+    days = days.withColumn("_total", F.sum("n").over(of_symbol)).where(F.col("_total") > max_rows).drop("_total")
+    if longest > target:
+        pieces = -(-longest * 4 // target)
+        shares = [i / pieces for i in range(1, pieces)]
+        cuts = F.percentile_approx("interval", shares, max(10_000, 20 * pieces))
+        rows = bars.select(*KEY).join(days.where(F.col("n") > target).select("symbol", "date"), ["symbol", "date"], "left_semi")
+        cuts = checkpointed(rows.groupBy("symbol", "date").agg(F.array_sort(F.array_distinct(cuts)).alias("_cuts")))
         slices = (
-            bars.select(*KEY)
-            .join(days.drop("n"), ["symbol", "date"])
-            .withColumn("_slice", F.expr("(interval - _lo) div _width"))
-            .groupBy("symbol", "date", "_lo", "_width", "_slice")
+            rows.join(cuts, ["symbol", "date"])
+            .withColumn("_slice", F.expr(SLICE))
+            .groupBy("symbol", "date", "_cuts", "_slice")
             .agg(F.count("*").alias("n"))
         )
+        whole = days.where(F.col("n") <= target).select(
+            "symbol", "date", F.lit(None).cast(cuts.schema["_cuts"].dataType).alias("_cuts"), F.lit(0).cast("bigint").alias("_slice"), "n")
+        slices = slices.unionByName(whole)
     else:
-        slices = days.withColumn("_slice", F.lit(0).cast("bigint"))
+        slices = days.select(
+            "symbol", "date", F.lit(None).cast("array<bigint>").alias("_cuts"), F.lit(0).cast("bigint").alias("_slice"), "n")
 
     ordered = of_symbol.orderBy("date", "_slice")
     placed = (
@@ -169,10 +170,10 @@ def _layout(bars, days, max_rows, target, slice_days, before, after) -> DataFram
         dest = F.array_union(dest, F.collect_set("_prev_blk").over(near))
     return (
         placed.withColumn("_dest", dest)
-        .groupBy("symbol", "date", "_lo", "_width")
+        .groupBy("symbol", "date", "_cuts")
         .agg(F.map_from_entries(F.collect_list(F.struct("_slice", "_dest"))).alias("_by_slice"), F.max("_slice").alias("_top"))
         .select(
-            "symbol", "date", "_lo", "_width",
+            "symbol", "date", "_cuts",
             F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_top")), lambda i: F.try_element_at("_by_slice", i)).alias("_dests"),
         )
     )

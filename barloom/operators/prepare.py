@@ -55,7 +55,7 @@ def clean_bars(bars: DataFrame, fill: bool = True, max_rows: int | None = MAX_RO
     if not fill:
         kept = drop_lunch(bars)
         floats = [c for c, t in kept.dtypes if t in ("double", "float")]
-        return kept.where(" and ".join(f"not isnan({c})" for c in floats)).dropna("any") if floats else kept.dropna("any")
+        return kept.where(" and ".join(f"not isnan(`{c}`)" for c in floats)).dropna("any") if floats else kept.dropna("any")
     kept = drop_lunch(clean(bars))
     columns = [c for c in numeric_columns(kept, ("symbol", "date", "interval"))]
     # A symbol keeps a gap only in a column it has no value for at all: look for
@@ -116,7 +116,7 @@ class Components:
     def scores(self, df: DataFrame, keep: tuple[str, ...] = ("symbol", "date", "interval")) -> DataFrame:
         """Centred projections: a dot product per component on the fitted means."""
         def score(j: int):
-            terms = [f"({c} - {self.means[i]!r}D) * {v[j]!r}D" for i, (c, v) in enumerate(self.loadings_table)]
+            terms = [f"(`{c}` - {self.means[i]!r}D) * {v[j]!r}D" for i, (c, v) in enumerate(self.loadings_table)]
             return F.expr(" + ".join(terms)).alias(f"PC{j + 1}")
 
         return df.select(*[c for c in keep if c in df.columns], *[score(j) for j in range(len(self.explained))])

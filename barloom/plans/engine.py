@@ -11,13 +11,15 @@ from barloom.plans.features import FEATURE_NAMES, features
 from barloom.plans.metrics import metrics
 from barloom.plans.models import BoostedTrees, Forecaster
 from barloom.sources.bars import bars_between, open_bars
+from barloom.sources.schema import require_unique_keys
 
 
 class Engine:
     """Calendar, bars, feature plan and model in one place.
 
     ``warmup_days`` trading days before a range are read to fill the windows at
-    its start and are not returned; 0 lets the windows start empty.
+    its start and are not returned; 0 lets the windows start empty. The mean return
+    that ``lagret12`` is measured against is taken over the warm-up rows too.
     """
 
     def __init__(
@@ -32,9 +34,13 @@ class Engine:
         self.model = model or BoostedTrees(list(FEATURE_NAMES))
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, calendar: TradingCalendar, **options) -> "Engine":
-        """Bars from a date-partitioned directory; a missing one is a ValueError."""
-        return cls(open_bars(spark, root), calendar, **options)
+    def open(cls, spark: SparkSession, root: str, calendar: TradingCalendar, check_keys: bool = False, **options) -> "Engine":
+        """Bars from a date-partitioned directory; a missing one is a ValueError.
+
+        ``check_keys`` looks for duplicate keys first, at the cost of one shuffle of the key columns.
+        """
+        bars = open_bars(spark, root)
+        return cls(require_unique_keys(bars) if check_keys else bars, calendar, **options)
 
     def features(self, start: int | str, end: int | str) -> DataFrame:
         """Features of the trading days in [start, end]."""

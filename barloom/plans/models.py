@@ -29,6 +29,15 @@ RIDGE_TOL = 1e-8
 FOLDS = 3
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """Rows dealt by key to a fixed number of partitions and sorted there, so that samples drawn with a
+    seed are the same whichever way the table was stored. One shuffle of the training columns."""
+    keys = [c for c in KEY if c in df.columns]
+    if not keys:
+        return df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+
+
 @dataclass
 class Forecaster:
     """An estimator over named feature columns. ``fit`` then ``predict``."""
@@ -45,7 +54,7 @@ class Forecaster:
 
     def fit(self, train: DataFrame) -> "Forecaster":
         """The training set is read once per pass of the solver, so it is kept for the fit."""
-        data = self.assemble(train).select(VECTOR, self.label).persist(StorageLevel.MEMORY_AND_DISK)
+        data = self.assemble(repeatable(train)).select(VECTOR, self.label).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             self.model = self.estimator(data).fit(data)
         finally:
@@ -87,7 +96,8 @@ class Ridge(Forecaster):
     """Least squares with an L2 penalty ``alpha`` on the sum of squares, no intercept.
 
     The normal equations are summed up on the executors. MLlib divides the loss
-    by n and the penalty by the label's deviation; the parameter undoes both.
+    by n and the penalty by the label's deviation; the parameter undoes both. A
+    constant label, which MLlib refuses to regularise, is a ValueError.
     """
 
     alpha: float = RIDGE_ALPHA
@@ -147,7 +157,7 @@ def eliminate(df: DataFrame, names: list[str], label: str = LABEL, folds: int =
     overrides the boosted-tree settings; len(names) * (folds + 1) models are fitted.
     """
     spark = df.sparkSession
-    data = checkpointed(date_folds(df.select("date", *names, label), folds))
+    data = checkpointed(repeatable(date_folds(df.select(*[c for c in KEY if c in df.columns], *names, label), folds)))
     current, steps = list(names), []
     while len(current) >= smallest:
         vectors = VectorAssembler(inputCols=current, outputCol=VECTOR).transform(data).select("fold", VECTOR, label)

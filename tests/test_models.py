@@ -71,6 +71,13 @@ def test_trees_learn_and_repeat(table, make):
     assert metrics(make(names).fit(df).predict(df)).first()["pcor"] > 0.9
 
 
+def test_training_does_not_depend_on_the_partitioning(table):
+    _, df = table
+    names, settings = ["a", "b", "noise"], dict(FAST, subsamplingRate=0.6)
+    trees = [BoostedTrees(names, settings=settings).fit(d).model.toDebugString.split("\n", 1)[1] for d in (df.repartition(7, "a"), df.coalesce(1))]
+    assert trees[0] == trees[1]
+
+
 def test_split_importance(spark, table):
     _, df = table
     model = BoostedTrees(["a", "b", "noise"], settings=FAST).fit(df)
@@ -110,6 +117,14 @@ def test_engine(engine_inputs):
         engine.fit(20240106, 20240102)
 
 
+def test_open_can_refuse_duplicate_keys(spark, engine_inputs, tmp_path):
+    bars, cal = engine_inputs
+    bars.unionByName(bars.limit(1)).write.partitionBy("date").parquet(str(tmp_path / "bars"))
+    Engine.open(spark, str(tmp_path / "bars"), cal)
+    with pytest.raises(ValueError, match="duplicate key"):
+        Engine.open(spark, str(tmp_path / "bars"), cal, check_keys=True)
+
+
 def test_warmup(engine_inputs):
     bars, cal = engine_inputs
     cold = Engine(bars, cal).features(20240107, 20240109)

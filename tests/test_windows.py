@@ -94,6 +94,17 @@ def test_blocks_cover_each_row_once(spark):
     assert s.df.count() < 1.9 * len(pdf)
 
 
+def test_uneven_intervals_are_cut_evenly(spark):
+    """One far interval, and two dense stretches of a day: no block gets most of the day."""
+    at = np.concatenate([np.arange(2500), 10**9 + np.arange(2500), [10**12]])
+    pdf = pd.DataFrame({"symbol": 1, "date": 20240101, "interval": at, "x": np.arange(len(at), dtype=float)})
+    s = series(spark_frame(spark, pdf), before=12, max_rows=400)
+    per = s.df.where("_own").groupBy("_blk").count().toPandas()
+    assert per["count"].sum() == len(pdf) and per["count"].max() <= 800 and len(per) >= 10
+    got = run_ewm(spark, pdf, 400)
+    np.testing.assert_allclose(got["a"].to_numpy(float), pdf["x"].ewm(halflife=5).mean().to_numpy(), rtol=1e-10)
+
+
 def test_lead_over_blocks(spark):
     pdf = long_series(n=2000)
     from barloom.sources.events import forward_return
