@@ -1,9 +1,10 @@
 """Near-equal lines across documents: a segment-partition edit join.
 
 Lines are compared without surrounding white space, by edit distance over their
-UTF-8 bytes. A line of length l is split into ``EDITS + 1`` segments; a line
-within ``EDITS`` of it must contain one of the segments unchanged, nearly at its
-place. Each line is indexed by (l, segment number, segment) and probes the
+UTF-8 bytes: one edit per ``PER_EDIT`` bytes of the shorter line, ``EDITS`` at most,
+so that shorter lines than that meet only their exact copies. A line of length l
+that may have k edits is split into k + 1 segments; a line within k edits of it,
+and not shorter, must contain one of the segments unchanged, nearly at its place. Each line is indexed by (l, segment number, segment) and probes the
 indexes of its own and slightly smaller lengths with the few substrings whose
 places are possible. What meets is verified by banded bit-parallel edit distance.
 
@@ -13,8 +14,8 @@ do, each is first compared with one line of its key; then, where a key still
 holds several components, lines of different ones whose byte parities allow the
 distance. So a key shared by very many alike lines costs one comparison each.
 
-Equal lines are one line throughout. Lines below ``MIN_BYTES`` take no part: they
-are never classed and never removed.
+Equal lines are one line throughout. Every line that is not blank takes part
+(``MIN_BYTES`` of 1).
 
 Cases: null and empty texts have one blank line, which takes no part; the first
 line of a class, by (doc_id, text hash, line number), is the one that stays; a
@@ -35,7 +36,8 @@ from barloom.llm.components import components
 from barloom.llm.rolling import U64, flat, groups, mix, shared
 
 EDITS = 2
-MIN_BYTES = 32
+PER_EDIT = 10
+MIN_BYTES = 1
 
 _FIRST, _SECOND = shared(71), shared(72)
 _BITS = U64(1) << (np.random.default_rng(73).permutation(256) % 64).astype(U64)
@@ -105,24 +107,31 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return i * base + np.maximum(i - short, 0), base + (i >= short)
 
 
+def allowed(length: np.ndarray, edits: int) -> np.ndarray:
+    """Edits between a line of each length and one that is not shorter."""
+    return np.minimum(length // PER_EDIT, edits)
+
+
 def keys(sums: np.ndarray, s: np.ndarray, e: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(lines, keys, whether they are index entries), for lines [s, e) of a hashed group.
 
     An index entry is the line's own segment in its place, which is also one of its probes.
     """
-    size, parts = e - s, edits + 1
+    size = e - s
     for less in range(edits + 1):
         target = size - less  # length of the lines looked for
-        for i in range(parts):
-            place, width = segment(target, i, parts)
-            low = np.maximum(place - i, place + less - (edits - i))
-            high = np.minimum(place + i, place + less + (edits - i))
+        most = allowed(target, edits)
+        for i in range(edits + 1):
+            place, width = segment(target, i, np.maximum(most, 0) + 1)
+            low = np.maximum(place - i, place + less - (most - i))
+            high = np.minimum(place + i, place + less + (most - i))
+            fits = (most > 0) & (most >= max(less, i))
             for shift in range(-edits, 2 * edits + 1):
                 at = place + shift
-                ok = np.flatnonzero((at >= low) & (at <= high) & (at >= 0) & (at + width <= size) & (width > 0))
+                ok = np.flatnonzero(fits & (at >= low) & (at <= high) & (at >= 0) & (at + width <= size) & (width > 0))
                 if len(ok):
                     made = _FIRST.of(sums, s[ok] + at[ok], s[ok] + at[ok] + width[ok])
-                    yield ok, mix(made + target[ok].astype(U64) * U64(parts) + U64(i)), less == 0 and shift == 0
+                    yield ok, mix(made + target[ok].astype(U64) * U64(edits + 1) + U64(i)), less == 0 and shift == 0
 
 
 def signatures(rows: DataFrame, edits: int, min_bytes: int) -> DataFrame:
@@ -226,7 +235,7 @@ def _verify(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            hits = [(x, y) for x, y, s, t in zip(a, b, ta, tb) if within(s, t, edits)]
+            hits = [(x, y) for x, y, s, t in zip(a, b, ta, tb) if within(s, t, min(edits, len(s) // PER_EDIT, len(t) // PER_EDIT))]
             if hits:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits)], schema=out)
 

@@ -320,6 +320,41 @@ def test_lines_equal_brute_force(spark):
     assert lines.repeated_lines(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_short_lines_are_classed(spark):
+    rng = random.Random(9)
+    made = ["}", "{", "ab", "é", "12 pages", "13 pages", "a heading", "a headinG", "one more heading", "one more heading.", "twenty bytes of text", "twenty byte of texts"]
+    for n in (9, 10, 11, 19, 20, 21, 29, 30, 31, 32, 33):
+        base = [rng.choice("abcd ") for _ in range(n - 2)]
+        for edits in range(4):
+            one = list(base)
+            for _ in range(edits):
+                p = rng.randrange(len(one))
+                one[p : p + 1] = rng.choice([[], [rng.choice("xyz")], [one[p], rng.choice("xyz")]])
+            made.append("q" + "".join(one) + "q")
+    rows = [(i, "\n".join(rng.choice(made) for _ in range(rng.randint(1, 6)))) for i in range(90)] + [(90, " }\t\n\n}"), (91, "}"), (92, "\n \n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [(i, n, line.strip()) for i, text in rows for n, line in enumerate(text.encode().split(b"\n")) if line.strip()]
+    parent = list(range(len(found)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (_, _, s) in enumerate(found):
+        for b, (_, _, t) in enumerate(found[:a]):
+            if s == t or lines._plain(s, t) <= min(2, len(s) // 10, len(t) // 10):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    want = collections.defaultdict(list)
+    for a, (i, n, _) in enumerate(found):
+        if root(a) != a:
+            want[i].append((n, *found[root(a)][:2]))
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in lines.repeated_lines(docs).collect()}
+    assert got == {i: want.get(i, []) for i, _ in rows}
+    assert len(got[90]) == 2 and len(got[91]) == 1 and got[92] == []
+
+
 # -- 8 ------------------------------------------------------------------------------------
 
 
