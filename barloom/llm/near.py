@@ -20,7 +20,8 @@ similarity. A parity holds, for each of ``PARITY`` classes of k-mers, whether th
 number is odd; where two parities differ, so do the k-mers, so no pair is lost by it,
 and it rules out nearly all pairs of alike but unlinked texts of up to some 2,000 words.
 Two texts with similarity 0.8 share a tuple in about half of the 16 functions: none
-with probability 2e-5, which only matters if no chain of links joins them.
+with probability 2e-5, for 4 against 5 k-mers 2.8e-4, which only matters if no chain
+of links joins them.
 
 Cases: null and empty texts, and texts of white space, are equal; a text of up to
 K words is one k-mer; rows with the same id and different texts are documents of
