@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import chat, fingerprints, knn, lines, near, packing, phrases, pieces, quality, warc
+from barloom.llm import chat, fingerprints, knn, line_rules, lines, near, packing, phrases, pieces, quality, warc
 from barloom.llm.common import arrow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,11 +152,15 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(_read(spark, sf, "documents"))
 
 
+def op11_line_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return line_rules.verdicts(_read(spark, sf, "documents")).drop("removed")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality, op2_voronoi_topk, op3_chat_format, op4_packing, op5_phrase_dedup, op6_fingerprints, op7_line_dedup, op8_warc,
-        op9_pieces, op10_near_dedup)}
+        op9_pieces, op10_near_dedup, op11_line_frequency)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_topk": TOPK_SQL, "op3_chat_format": _chat_sql(), "op8_warc": WARC_SQL}
+    return {"op2_voronoi_topk": TOPK_SQL, "op3_chat_format": _chat_sql(), "op8_warc": WARC_SQL, "op11_line_frequency": line_rules.ORACLE}
