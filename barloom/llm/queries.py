@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from barloom.llm import chat, fingerprints, knn, line_rules, lines, near, packing, phrases, pieces, quality, warc
+from barloom.llm import alignment, chat, fingerprints, knn, line_rules, lines, near, negatives, packing, phrases, pieces, quality, warc
 from barloom.llm.common import arrow
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,11 +156,43 @@ def op11_line_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return line_rules.verdicts(_read(spark, sf, "documents")).drop("removed")
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_scores(_read(spark, sf, "documents"), a, b, derive={"groups_sha256": digest})
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Every seventh vector is mislabelled first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _read(spark, sf, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+NEGATIVES_SQL = """
+with v as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
+s as (
+  select q.vec_id anchor_id, q.l anchor_label, c.vec_id, c.l, list_inner_product(q.e, c.e)::bigint score
+  from v q join v c on true where q.vec_id % 100 = 0),
+p as (
+  select anchor_id, vec_id positive_id, score positive_score from s where l = anchor_label and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id)::int "rank",
+  vec_id negative_id, positive_score, score negative_score
+from p join s on p.anchor_id = s.anchor_id and l <> anchor_label and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) <= 5"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_quality, op2_voronoi_topk, op3_chat_format, op4_packing, op5_phrase_dedup, op6_fingerprints, op7_line_dedup, op8_warc,
-        op9_pieces, op10_near_dedup, op11_line_frequency)}
+        op9_pieces, op10_near_dedup, op11_line_frequency, op12_alignment, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_topk": TOPK_SQL, "op3_chat_format": _chat_sql(), "op8_warc": WARC_SQL, "op11_line_frequency": line_rules.ORACLE}
+    return {"op2_voronoi_topk": TOPK_SQL, "op3_chat_format": _chat_sql(), "op8_warc": WARC_SQL, "op11_line_frequency": line_rules.ORACLE,
+            "op13_hard_negatives": NEGATIVES_SQL}
