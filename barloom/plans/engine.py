@@ -19,7 +19,9 @@ class Engine:
 
     ``warmup_days`` trading days before a range are read to fill the windows at
     its start and are not returned; 0 lets the windows start empty. The mean return
-    that ``lagret12`` is measured against is taken over the warm-up rows too.
+    that ``lagret12`` is measured against is taken over the warm-up rows too. A trading day of the
+    range that a stored table has no file for is an error; ``look_for_days`` looks for
+    days without rows in any other frame, at the cost of an aggregate over ``date``.
     """
 
     def __init__(
@@ -29,7 +31,9 @@ class Engine:
         model: Forecaster | None = None,
         plan: Callable[..., DataFrame] = features,
         warmup_days: int = 0,
+        look_for_days: bool = False,
     ):
+        self.look_for_days = look_for_days
         self.bars, self.calendar, self.plan, self.warmup_days = bars, calendar, plan, warmup_days
         self.model = model or BoostedTrees(list(FEATURE_NAMES))
 
@@ -49,7 +53,7 @@ class Engine:
             raise ValueError(f"no trading days in [{start}, {end}]")
         before = self.calendar.days_before(days[0], self.warmup_days) if self.warmup_days else []
         first = before[0] if before else days[0]
-        df = self.plan(bars_between(self.bars, self.calendar, first, days[-1]))
+        df = self.plan(bars_between(self.bars, self.calendar, first, days[-1], self.look_for_days))
         return df.where(f"date >= {days[0]}") if before else df
 
     def fit(self, start: int | str, end: int | str) -> "Engine":

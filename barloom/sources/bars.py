@@ -15,22 +15,25 @@ from pyspark.sql.utils import AnalysisException
 
 from barloom.operators.blocks import broadcast_up_to
 from barloom.operators.calendar import TradingCalendar
+from barloom.sources.days import day_folders, read_by_name, require_days
 from barloom.sources.schema import BAR_SCHEMA, bars_first, require_columns
 
 
 def open_bars(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
-    """The whole table, lazily; extra columns are kept, missing ones are an error."""
+    """The whole table, lazily; extra columns are kept, missing ones are an error.
+
+    Without a schema the columns of all days are matched by name, from the footers of their files.
+    """
     try:
-        reader = spark.read if schema is None else spark.read.schema(schema)
-        df = reader.parquet(root)
+        df = read_by_name(spark, root) if schema is None else spark.read.schema(schema).parquet(root)
     except AnalysisException as e:
         raise ValueError(f"not a readable bar directory: {root}") from e
     required = [f.name for f in (schema or BAR_SCHEMA).fields]
     return bars_first(require_columns(df, required).withColumn("date", F.col("date").cast("int")))
 
 
-def bars_on(bars: DataFrame, calendar: TradingCalendar, dates: Iterable[int | str]) -> DataFrame:
-    """Rows of the given trading days. An empty list or a non-trading day is an error."""
+def bars_on(bars: DataFrame, calendar: TradingCalendar, dates: Iterable[int | str], look: bool = False) -> DataFrame:
+    """Rows of the given trading days. An empty list, a non-trading day or a day without a file is an error."""
     days = sorted({int(d) for d in dates})
     if not days:
         raise ValueError("no dates given")
@@ -38,7 +41,7 @@ def bars_on(bars: DataFrame, calendar: TradingCalendar, dates: Iterable[int | st
     off = [d for d in days if d not in known]
     if off:
         raise ValueError(f"not trading days: {off}")
-    return bars.where(F.col("date").isin(days))
+    return require_days(bars, days, look).where(F.col("date").isin(days))
 
 
 def load_day(spark: SparkSession, root: str, calendar: TradingCalendar, date: int | str) -> DataFrame:
@@ -49,13 +52,16 @@ def load_days(spark: SparkSession, root: str, calendar: TradingCalendar, dates:
     return bars_on(open_bars(spark, root), calendar, dates)
 
 
-def bars_between(bars: DataFrame, calendar: TradingCalendar, start: int | str, end: int | str) -> DataFrame:
-    """Rows of the trading days in [start, end].
+def bars_between(bars: DataFrame, calendar: TradingCalendar, start: int | str, end: int | str, look: bool = False) -> DataFrame:
+    """Rows of the trading days in [start, end]; a trading day without a file is an error.
 
-    The two literals prune partitions at planning time; the semi-join on the
+    Where the frame is not a stored table, ``look`` finds the days without rows by an
+    aggregate over ``date``; otherwise only a stored table is checked. The two literals prune partitions at planning time; the semi-join on the
     small calendar then drops days that are not trading days.
     """
     start, end = int(start), int(end)
+    if look or day_folders(bars) is not None:
+        require_days(bars, [r[0] for r in calendar.range(start, end).select("trading_day").collect()], look)
     days = calendar.range(start, end).select(F.col("trading_day").alias("date"))
     days = broadcast_up_to(days, end - start + 1)
     return bars.where(F.col("date").between(start, end)).join(days, "date", "left_semi").select(*bars.columns)
@@ -83,13 +89,14 @@ def read_day_file(spark: SparkSession, path: str, date: int | str | None = None)
 def write_by_date(table: DataFrame, root: str, mode: str = "error") -> None:
     """Bars or features as date-partitioned Parquet.
 
-    Rows of one day are spread over several tasks by symbol, so a large day does
+    ``overwrite`` replaces the days that ``table`` holds and leaves all others as they are, so
+    writing a day again gives the same table; ``replace_all`` drops what was there.
+    Each task writes to a staging folder and the folders of the days are swapped when the
+    job commits. Rows of one day are spread over several tasks by symbol, so a large day does
     not pass through one writer; AQE splits a hot symbol's share further.
     """
-    (
-        table.hint("rebalance", "date", "symbol")
-        .sortWithinPartitions("date", "symbol", "interval")
-        .write.mode(mode)
-        .partitionBy("date")
-        .parquet(root)
-    )
+    kind = {"overwrite": "dynamic", "replace_all": "static"}.get(mode)
+    writer = table.hint("rebalance", "date", "symbol").sortWithinPartitions("date", "symbol", "interval").write
+    if kind is not None:
+        mode, writer = "overwrite", writer.option("partitionOverwriteMode", kind)
+    writer.mode(mode).partitionBy("date").parquet(root)
