@@ -45,6 +45,12 @@ FAN = 8
 EXACT = float(1 << 52)  # below it, inner products in doubles are exact
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
+
+def reached(score: int) -> float:
+    """A score as the bound of a box's interval; at the ends of the range, scores stand for all beyond."""
+    return -np.inf if score <= LOW else np.inf if score >= HIGH else float(score)
+
+
 ENTRY_DDL = "label bigint, _v binary, _ids array<bigint>"
 ASK_DDL = "label bigint, _v binary, _lo array<bigint>, _hi array<bigint>, _floor array<bigint>"
 HIT_DDL = "label bigint, _v binary, _hi bigint, score bigint, vec_id bigint, _own boolean"
@@ -71,6 +77,16 @@ def matrix(values: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def intervals(up: np.ndarray, down: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest inner product of a query (its positive and its negative part) with a point of each box.
+
+    Where doubles overflow, the interval is open at that end.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        least, most = up @ lo.T + down @ hi.T, up @ hi.T + down @ lo.T
+    return np.where(np.isnan(least), -np.inf, least), np.where(np.isnan(most), np.inf, most)
+
+
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """vec_id, label, _v = floor(scale * x), _width; only rows that take part."""
     ddl = "vec_id bigint, label bigint, _v binary, _width int"
@@ -111,12 +127,13 @@ class Tree:
     """Levels of boxes over packed vectors; level 0 are the leaves."""
 
     def __init__(self, labels: np.ndarray, x: np.ndarray, ids: list[list[int]], leaf: int = LEAF, fan: int = FAN):
-        axes = np.argsort(-x.var(0), kind="stable")[:3]
+        with np.errstate(over="ignore", invalid="ignore"):
+            axes = np.argsort(-x.var(0), kind="stable")[:3]
+            norm = np.sqrt((x**2).sum(1))
         by_label = [np.flatnonzero(labels == label) for label in np.unique(labels)]
         order = np.concatenate([mine[str_order(x[mine], leaf, axes)] for mine in by_label])
         self.x, self.labels, self.ids = x[order], labels[order], [ids[i] for i in order]
-        self.norm = np.sqrt((self.x**2).sum(1))
-        self.longest, self.largest = float(self.norm.max()), float(np.abs(self.x).max(initial=0))
+        self.longest, self.largest = float(norm.max()), float(np.abs(self.x).max(initial=0))
         # A leaf ends where a label does; so most boxes know their only label.
         steps = np.concatenate([at + np.arange(0, len(mine), leaf) for at, mine in zip(np.cumsum([0, *map(len, by_label)]), by_label)])
         self.levels = []
@@ -143,25 +160,29 @@ class Tree:
         v = unpacked(name)
         q[: len(v)] = v
         up, down = np.maximum(q, 0), np.minimum(q, 0)
-        reach = float(np.abs(q).sum()) * self.largest
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = float(np.abs(q).sum() * self.largest)
+            rounds = not np.sqrt(q @ q) * self.longest < EXACT
         slack = 1e-9 * reach + 1e-3
-        exact = [int(a) for a in q.tolist()] if np.sqrt(q @ q) * self.longest >= EXACT else None
+        exact = [int(a) for a in q.tolist()] if rounds else None
         floor = [max(a, b) for a, b in zip(floor, low)]
         best: list[list[tuple]] = [[] for _ in low]
-        top = max(high)
+        top = reached(max(high))
+
+        def low_end() -> float:
+            return -np.inf if min(floor) <= LOW else float(min(floor))
 
         def admitted(level: int, lo: int, hi: int):
             box_lo, box_hi, first, last, _, _ = self.levels[level]
-            least = box_lo[lo:hi] @ up + box_hi[lo:hi] @ down
-            most = box_hi[lo:hi] @ up + box_lo[lo:hi] @ down
+            least, most = intervals(up, down, box_lo[lo:hi], box_hi[lo:hi])
             right = (first[lo:hi] <= label) & (label <= last[lo:hi]) if same else (first[lo:hi] != label) | (last[lo:hi] != label)
-            right &= (most + slack >= min(floor)) & (least - slack <= top)
+            right &= (most + slack >= low_end()) & (least - slack <= top)
             return [(-most[i], level, lo + i) for i in np.flatnonzero(right).tolist()]
 
         queue = admitted(len(self.levels) - 1, 0, 1)
         while queue:
             bound, level, node = heapq.heappop(queue)
-            if -bound + slack < min(floor):
+            if -bound + slack < low_end():
                 break
             _, _, _, _, begins, ends = self.levels[level]
             lo, hi = int(begins[node]), int(ends[node])
@@ -223,7 +244,7 @@ class Tiles:
             n, mean, m2 = 0, np.zeros(width), np.zeros(width)
             for batch in batches:
                 if batch.num_rows:
-                    x = matrix(batch.column(0).to_pylist(), width)
+                    x = np.clip(matrix(batch.column(0).to_pylist(), width), -1e100, 1e100)  # only where to cut depends on it
                     m, gap = x.mean(0), x.mean(0) - mean
                     total = n + len(x)
                     m2 += ((x - m) ** 2).sum(0) + gap**2 * (n * len(x) / total)
@@ -288,8 +309,9 @@ class Tiles:
         """Which tiles each query asks: the one with the highest bound, or in the second round the others that may hold better."""
         q = matrix(name, self.width)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
-        most, least = up @ self.hi.T + down @ self.lo.T, up @ self.lo.T + down @ self.hi.T
-        reach = max(np.abs(self.lo).max(initial=0), np.abs(self.hi).max(initial=0)) * np.abs(q).sum(1)
+        least, most = intervals(up, down, self.lo, self.hi)
+        with np.errstate(over="ignore"):
+            reach = max(np.abs(self.lo).max(initial=0), np.abs(self.hi).max(initial=0)) * np.abs(q).sum(1)
         slack = (1e-9 * reach + 1e-3)[:, None]
         lo, hi = self.lo_label[None, :], self.hi_label[None, :]
         right = (lo <= label[:, None]) & (label[:, None] <= hi) if same else (lo != label[:, None]) | (hi != label[:, None])
@@ -320,8 +342,8 @@ def _ask_shards(asks: DataFrame, tiled: DataFrame, tiles: Tiles, same: bool, k:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                floor = np.array([min(x) for x in part.column(4).to_pylist()], float)
-                top = np.array([max(x) for x in part.column(3).to_pylist()], float)
+                floor = np.array([-np.inf if min(x) <= LOW else min(x) for x in part.column(4).to_pylist()], float)
+                top = np.array([reached(max(x)) for x in part.column(3).to_pylist()], float)
                 chosen = tiles.choose(part.column(1).to_pylist(), part.column(0).to_numpy(zero_copy_only=False), same, floor, top, first)
                 at = pa.array(np.repeat(np.arange(part.num_rows), [len(c) for c in chosen]))
                 if len(at):
