@@ -14,10 +14,10 @@ links are stored as numbers, counted by bincount in each task and summed up by S
 table of counts has at most one row for each such pair however large the corpus is,
 so it is sent to all tasks.
 
-Texts are encoded in parts of some ``PART`` characters, cut before a space that follows a letter or
-digit. The byte-level tokenizer always splits there; the piece model does, too, if none of its
-pieces has a space after another character, which is checked. A stretch without such a
-place is encoded in one part.
+Texts are cut before each space that follows a character other than white space. The byte-level
+tokenizer always splits there; the piece model does, too, if none of its pieces has a space after
+another character, which is checked (if one has, texts stay whole). So a text's ids are those of its
+parts, and the ids of short parts are remembered. Each new part goes to both tokenizers.
 
 Cases: null and empty texts, and those whose tokens do not spell the text again, have no
 tokens: zeros, and an empty string of groups. Every row is aligned and counted, repeated ones
@@ -28,8 +28,10 @@ columns are ignored and may have any name.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from barloom.llm.common import Stored, arrow
 
 GROUP = 1 << 20  # characters of the documents that are merged at once, about
-PART = 1 << 17
+MEMO = 400_000  # parts whose ids a worker remembers
+LONG = 40  # characters; longer parts are not remembered
 LANE = 512
 GATHER = 1 << 19  # tokens whose bytes are compared at once
 
 SPACE = "▁"
+_CUT = re.compile(r" (?<=\S )")
 
 
 class Vocabulary:
@@ -85,8 +89,8 @@ class ByteTokenizer:
         self.cuttable = True
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        """Parts begin with a space."""
-        return [e.ids for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+        """Ids of the parts with a space before each."""
+        return [e.ids for e in self.model.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
 
 
 class PieceTokenizer:
@@ -103,7 +107,7 @@ class PieceTokenizer:
         self.cuttable = not any(SPACE in p.lstrip(SPACE) for p in names)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.model.encode([p[1:] for p in parts], num_threads=1)
+        return self.model.encode(parts, num_threads=1)
 
 
 class Pairs:
@@ -126,6 +130,13 @@ class Pairs:
         return np.searchsorted(self.keys, (a.astype(np.int64) << 32) | b).astype(np.int32)
 
 
+@lru_cache(maxsize=1)
+def memory(a_path: str, b_path: str, most: int) -> Encoded:
+    """What this worker remembers, over its tasks."""
+    a, b, _ = sides(a_path, b_path)
+    return Encoded(a, b, most)
+
+
 @lru_cache(maxsize=2)
 def sides(a_path: str, b_path: str) -> tuple[ByteTokenizer, PieceTokenizer, Pairs]:
     """Both tokenizers and their pairs, once in a worker."""
@@ -133,18 +144,67 @@ def sides(a_path: str, b_path: str) -> tuple[ByteTokenizer, PieceTokenizer, Pair
     return a, b, Pairs(a.vocabulary, b.vocabulary)
 
 
-def parts_of(text: str, size: int = PART) -> list[str]:
-    """The text cut before single places where both tokenizers split, each part about ``size`` long at least."""
-    out, lo = [], 0
-    while len(text) - lo > size:
-        at = text.find(" ", lo + size)
-        while at > 0 and not text[at - 1].isalnum():
-            at = text.find(" ", at + 1)
-        if at < 0 or at + 1 == len(text):
-            break  # no place, or only the space itself would be left
-        out.append(text[lo:at])
-        lo = at
-    return [*out, text[lo:]]
+def parts_of(text: str) -> list[str]:
+    """The text cut at each space behind a character that is no white space; that space is left out.
+
+    A space at the very end stays with what is before it.
+    """
+    parts = _CUT.split(text)
+    if len(parts) > 1 and not parts[-1]:
+        parts.pop()
+        parts[-1] += " "
+    return parts
+
+
+class Encoded:
+    """Ids of parts on both sides; those of the first ``most`` short parts are remembered.
+
+    Part i has the ids flat[s][at[s][i] : at[s][i + 1]] on side s.
+    """
+
+    def __init__(self, a: ByteTokenizer, b: PieceTokenizer, most: int = MEMO):
+        self.sides, self.most = (a, b), most
+        self.cuttable = a.cuttable and b.cuttable
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.at = [np.zeros(1, np.int64) for _ in self.sides]
+        self.flat = [np.empty(0, np.int32) for _ in self.sides]
+
+    def look_up(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of all parts in order, and how many each has, of both sides."""
+        number, known = self.number, len(self.number)
+        where = np.fromiter([number.get(p, -1) for p in parts], np.int64, len(parts))
+        absent = np.flatnonzero(where < 0)
+        if known >= self.most and 2 * len(absent) > len(parts) and known:
+            self.forget()  # other words than before
+            return self.look_up(parts)
+        missing = [parts[i] for i in absent.tolist()]
+        new = sorted(set(missing), key=len)  # short ones first: they are kept
+        keep = min(len(new), max(0, self.most - known))
+        while keep and len(new[keep - 1]) > LONG:
+            keep -= 1
+        extra = dict(zip(new, range(known, known + len(new))))
+        where[absent] = [extra[p] for p in missing]
+        at, flat = [], []
+        for s, side in enumerate(self.sides):
+            lists = [x for lo in range(0, len(new), 10_000) for x in side.encode(new[lo : lo + 10_000])]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            made = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+            at.append(np.concatenate([self.at[s], self.at[s][-1] + np.cumsum(sizes)]))
+            flat.append(np.concatenate([self.flat[s], made]) if len(made) else self.flat[s])
+        ids, counts = [], []
+        for s in range(2):
+            size = at[s][where + 1] - at[s][where]
+            ends = np.cumsum(size)
+            take = np.repeat(at[s][where] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+            ids.append(flat[s][take].astype(np.int64))
+            counts.append(size)
+        number.update(zip(new[:keep], range(known, known + keep)))
+        self.at = [x[: known + keep + 1].copy() for x in at]
+        self.flat = [x[: self.at[s][-1]].copy() for s, x in enumerate(flat)] if keep < len(new) else flat
+        return ids, counts
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, bounds: np.ndarray, lane: int = LANE) -> np.ndarray:
@@ -175,31 +235,23 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, bounds: np.ndarray, lane: i
 class Batch:
     """Tokens and links of some documents."""
 
-    def __init__(self, texts: list[str], a: ByteTokenizer, b: PieceTokenizer, part: int = PART, lane: int = LANE):
-        whole = [" " + t if t else "" for t in texts]
-        cuttable = a.cuttable and b.cuttable
-        parts = [(parts_of(t, part) if cuttable else [t]) if t else [] for t in whole]
-        flat = [p for ps in parts for p in ps]
+    def __init__(self, texts: list[str], encoded: Encoded, lane: int = LANE):
+        parts = [(parts_of(t) if encoded.cuttable else [t]) if t else [] for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(ps) for ps in parts])
         n = len(texts)
-        self.ids, self.at = [], []
         valid = np.ones(n, bool)
-        raw = [t.encode() for t in whole]
-        for side in (a, b):
-            lists = side.encode(flat) if flat else []
-            sizes = np.array([len(x) for x in lists], np.int64)
-            ids = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-            del lists
-            at = np.concatenate([[0], np.cumsum(np.bincount(owner, sizes, n).astype(np.int64))])
+        raw = [(" " + t).encode() if t else b"" for t in texts]
+        self.ids, counts = encoded.look_up(list(chain.from_iterable(parts)))
+        self.at = [np.concatenate([[0], np.cumsum(np.bincount(owner, c, n).astype(np.int64))]) for c in counts]
+        for side, ids, at in zip(encoded.sides, self.ids, self.at):
             spelt, lengths = side.vocabulary.spell(ids), np.concatenate([[0], np.cumsum(side.vocabulary.length[ids])])[at]
             valid &= [spelt[lo:hi] == t for lo, hi, t in zip(lengths[:-1].tolist(), lengths[1:].tolist(), raw)]
-            self.ids.append(ids)
-            self.at.append(at)
-        for s, side in enumerate((a, b)):
-            sizes = np.diff(self.at[s])
-            self.ids[s] = self.ids[s][np.repeat(valid, sizes)]
-            self.at[s] = np.concatenate([[0], np.cumsum(np.where(valid, sizes, 0))])
-        ends = [np.cumsum(side.vocabulary.length[ids]) for side, ids in zip((a, b), self.ids)]
+        if not valid.all():
+            for s in range(2):
+                sizes = np.diff(self.at[s])
+                self.ids[s] = self.ids[s][np.repeat(valid, sizes)]
+                self.at[s] = np.concatenate([[0], np.cumsum(np.where(valid, sizes, 0))])
+        ends = [np.cumsum(side.vocabulary.length[ids]) for side, ids in zip(encoded.sides, self.ids)]
         bounds = np.concatenate([[0], np.cumsum([len(t) if ok else 0 for t, ok in zip(raw, valid)])])
         partner = lockstep(*ends, bounds, lane)
         self.cut_a = np.flatnonzero(partner >= 0)  # last A and last B token of each group
@@ -227,16 +279,17 @@ ALIGNED_DDL = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links b
 
 
 def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text",
-                    group: int = GROUP, part: int = PART, lane: int = LANE) -> DataFrame:
+                    group: int = GROUP, lane: int = LANE, memo: int = MEMO) -> DataFrame:
     """Groups of tokens between common ends as text, and the numbers of the linked pairs (see ``Pairs``) in order."""
     out = arrow(ALIGNED_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, pairs = sides(a_path, b_path)
         names, offset = _names(a.vocabulary, b.vocabulary), 2 * len(a.vocabulary.tokens)
+        encoded = memory(a_path, b_path, memo)
 
         def made(ids: list, texts: list[str]) -> pa.RecordBatch:
-            batch = Batch(texts, a, b, part, lane)
+            batch = Batch(texts, encoded, lane)
             links = pairs.numbers(batch.ids[0][batch.cut_a], batch.ids[1][batch.cut_b])
             count = np.diff(batch.link_at)
             arrays = [pa.array(ids, pa.int64()), pa.array(np.diff(batch.at[0])), pa.array(np.diff(batch.at[1])), pa.array(count), pa.array(count),

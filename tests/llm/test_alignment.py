@@ -95,11 +95,11 @@ def corpus():
     return [*enumerate(texts), (None, "no id"), (3, "another of id three")]
 
 
-@pytest.mark.parametrize("part,lane,group", [(1 << 17, 512, 1 << 20), (40, 7, 900)])
-def test_equals_a_plain_merge(spark, plain, part, lane, group):
+@pytest.mark.parametrize("lane,group,memo", [(512, 1 << 20, 400_000), (7, 900, 60), (64, 5000, 0)])
+def test_equals_a_plain_merge(spark, plain, lane, group, memo):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id bigint, text string, links string, n_a int").repartition(3)
-    made = alignment.link_scores(docs, A_PATH, B_PATH, part=part, lane=lane, group=group)
+    made = alignment.link_scores(docs, A_PATH, B_PATH, lane=lane, group=group, memo=memo)
     cols = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum"]
     assert sorted((tuple(r) for r in made.select(*cols).collect()), key=repr) == expected(rows, plain)
 
@@ -130,7 +130,7 @@ def test_lockstep_meets_at_common_ends():
 
 
 def test_parts_are_the_text():
-    text = " a b  c. d e " * 50
-    parts = alignment.parts_of(text, 20)
-    assert "".join(parts) == text and len(parts) > 5 and all(p.startswith(" ") for p in parts)
-    assert alignment.parts_of(" " + "x" * 100, 20) == [" " + "x" * 100]
+    for text in ("a b  c. d e ", "x", " ", "  ", " lead", "a\n b", "a \n b\t c", "tail  ", "", "one "):
+        parts = alignment.parts_of(text)
+        assert " ".join(parts) == text and (len(parts) == 1 or all(parts))
+    assert alignment.parts_of("a b  c. d ") == ["a", "b", " c.", "d "]
