@@ -50,6 +50,7 @@ class Series:
     df: DataFrame
     blocks: int = 0
     big: DataFrame | None = None  # the symbols that are cut, no more than blocks
+    state: DataFrame | None = None  # what running quantities go on from, a row a symbol
 
     @property
     def blocked(self) -> bool:
@@ -63,7 +64,7 @@ class Series:
         return Window.partitionBy(*self.keys).orderBy("date", "interval")
 
     def with_df(self, df: DataFrame) -> "Series":
-        return Series(df, self.blocks, self.big)
+        return Series(df, self.blocks, self.big, self.state)
 
     def cut(self) -> DataFrame:
         """Original rows of the symbols that are cut into blocks; only they hand anything on."""
@@ -106,23 +107,26 @@ def find_layout(bars: DataFrame, before: int = 0, after: int = 0, max_rows: int
     return Layout(table, big["days"], big["blocks"])
 
 
-def place(bars: DataFrame, layout: Layout | None) -> Series:
+def place(bars: DataFrame, layout: Layout | None, state: DataFrame | None = None, states: int = 0) -> Series:
     """Bars with their block, copied where a neighbouring block looks at them.
 
-    Rows without a symbol belong to no series and are dropped.
+    Rows without a symbol belong to no series and are dropped. With ``state`` (``states`` rows), rows whose
+    ``_given`` is false come from before the series and are looked back at only.
     """
     bars = bars.where(F.col("symbol").isNotNull())
-    if layout is None:
+    if layout is None and state is None:
         return Series(bars)
+    if layout is None:
+        return Series(bars.selectExpr("*", "0L as _blk", "_given as _own").drop("_given"), max(states, 1), None, state)
     placed = (
         bars.join(broadcast_up_to(layout.table, layout.days), ["symbol", "date"], "left")
         .withColumn("_slice", F.expr(SLICE))
         .withColumn("_dest", F.coalesce(F.expr("_dests[cast(_slice as int)]"), F.array(F.lit(0).cast("bigint"))))
         .select(*bars.columns, F.posexplode("_dest").alias("_pos", "_blk"))
-        .withColumn("_own", F.col("_pos") == 0)
-        .drop("_pos")
+        .withColumn("_own", (F.col("_pos") == 0) & (F.lit(True) if state is None else F.col("_given")))
+        .drop("_pos", "_given")
     )
-    return Series(placed, layout.blocks, layout.table.select("symbol").distinct())
+    return Series(placed, layout.blocks + states, layout.table.select("symbol").distinct(), state)
 
 
 def _layout(bars, days, max_rows, target, longest, before, after) -> DataFrame:

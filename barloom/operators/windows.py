@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from barloom.operators.blocks import Series, broadcast_up_to
 
@@ -128,13 +125,14 @@ def stretch_window(s: Series):
     return Window.partitionBy(*s.keys).orderBy("_sub", "date", "interval")
 
 
-def ewm(s: Series, specs: dict[str, tuple[str, float]]) -> Series:
+def ewm(s: Series, specs: dict[str, tuple[str, float]], sums_too: bool = False) -> Series:
     """Exponentially weighted means ``{out: (column, decay)}`` of an indexed series.
 
     The value at row t is sum(d^(t-i) x_i) / sum(d^(t-i)) over the present x_i
     up to t; the age counts missing rows too, and a missing row repeats the last
     value. A running sum of x_i d^-i overflows, so it restarts at each stretch;
-    the stretch before enters through its state at its last row.
+    the stretch before enters through its state at its last row. ``sums_too``
+    adds both sums as of each row, n_<out> and d_<out>.
     """
     if not specs:
         return s
@@ -180,11 +178,12 @@ def ewm(s: Series, specs: dict[str, tuple[str, float]]) -> Series:
     # Only a present row gets a value of its own: its weight is 1, so what was dropped cannot be
     # seen in it. Across a gap the last one is repeated; there the sums have faded away.
     live = " and _own" if s.blocked else ""
-    df = df.selectExpr(*keep, *arrived, *[
+    totals = [f"_{p}_{out} as {p}_{out}" for p, out, _, _ in parts] if sums_too else []
+    df = df.selectExpr(*keep, *arrived, *totals, *[
         f"if({c} is not null{live}, try_divide(_n_{out}, _d_{out}), null) as _e_{out}" for out, (c, _) in specs.items()
     ])
     df = df.select("*", *[F.expr(f"last(_e_{out}, true)").over(so_far).alias(f"_l_{out}") for out in specs])
-    return s.with_df(df.selectExpr(*keep, *[
+    return s.with_df(df.selectExpr(*keep, *[f"{p}_{out}" for p, out, _, _ in parts if sums_too], *[
         (f"coalesce(_l_{out}, _ine_{out})" if s.blocked else f"_l_{out}") + f" as {out}" for out in specs
     ]))
 
@@ -194,9 +193,14 @@ def _ewm_carry(s: Series, specs: dict[str, tuple[str, float]]) -> DataFrame:
 
     The summary holds the weighted sums as of the last present value of the
     block; only the STRETCH rows up to it can be seen in them, since that value has weight 1. A symbol has
-    rows / max_rows summaries, so the scan over them is short however long the
-    series is.
+    rows / max_rows summaries, so the fold over them is short however long the
+    series is. A series that goes on from a state starts with that.
     """
+    start = None
+    if s.state is not None:
+        start = s.state.select("symbol", F.lit(0).cast("bigint").alias("_blk"), *[F.col(f"{p}_{out}").alias(f"_in{p}_{out}") for out in specs for p in "nde"])
+    if s.big is None:
+        return start
     whole = Window.partitionBy(*s.keys)
     columns = sorted({c for c, _ in specs.values()})
     marked = s.cut().select(
@@ -211,36 +215,38 @@ def _ewm_carry(s: Series, specs: dict[str, tuple[str, float]]) -> DataFrame:
             F.expr(f"max(_at_{c}) as i_{out}"),
         ]
     flat = marked.groupBy(*s.keys).agg((F.max("_i") + 1).alias("rows"), *sums)
-    decay = {out: d for out, (_, d) in specs.items()}
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk", ignore_index=True)
-        rows = pdf["rows"].to_numpy(float)
-        res = {"symbol": pdf["symbol"], "_blk": pdf["_blk"]}
-        for out, d in decay.items():
-            n, w, i = (pdf[f"{p}_{out}"].to_numpy(float) for p in "ndi")
-            state = np.full((len(pdf), 3), np.nan)
-            cn, cw, ce = 0.0, 0.0, np.nan
-            for j in range(len(pdf)):
-                state[j] = cn, cw, ce
-                old = d ** rows[j]
-                if np.isnan(i[j]):  # no value in the block
-                    cn, cw = cn * old, cw * old
-                    continue
-                here, rest = d ** (i[j] + 1), d ** (rows[j] - 1 - i[j])
-                ce = (n[j] + cn * here) / (w[j] + cw * here)
-                cn, cw = n[j] * rest + cn * old, w[j] * rest + cw * old
-            for p, k in zip("nde", range(3)):
-                res[f"_in{p}_{out}"] = state[:, k]
-        return pd.DataFrame(res)
-
-    schema = StructType(
-        [StructField("symbol", LongType()), StructField("_blk", LongType())]
-        + [StructField(f"_in{p}_{out}", DoubleType()) for out in specs for p in "nde"]
-    )
-    carry = flat.groupBy("symbol").applyInPandas(scan, schema)
-    # NaN marks "nothing yet"
-    return carry.select("symbol", "_blk", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in carry.columns[2:]])
+    cut = _fold_blocks(flat, specs, s.state)
+    return cut if s.state is None else cut.unionByName(start.join(broadcast_up_to(s.big, s.blocks), "symbol", "left_anti"))
+
+
+def _fold_blocks(flat: DataFrame, specs: dict[str, tuple[str, float]], state: DataFrame | None) -> DataFrame:
+    """The state before each block: a fold over the ordered summaries of a symbol, from ``state`` or from nothing."""
+    row = F.struct("_blk", "rows", *[F.col(f"{p}_{out}") for out in specs for p in "ndi"])
+    blocks = flat.groupBy("symbol").agg(F.sort_array(F.collect_list(row)).alias("_b"))
+    if state is not None:
+        blocks = blocks.join(state.select("symbol", *[F.col(f"{p}_{out}").alias(f"_0{p}_{out}") for out in specs for p in "nde"]), "symbol", "left")
+
+    def first(out: str) -> str:
+        n, d, e = (f"_0{p}_{out}" for p in "nde") if state is not None else ("null", "null", "null")
+        return f"coalesce(cast({n} as double), 0D) as n, coalesce(cast({d} as double), 0D) as d, cast({e} as double) as e"
+
+    def past(out: str, d: float) -> str:
+        def upto(a: str) -> str:  # as of the last row of the block
+            return f"if(b.i_{out} is null, 0D, b.{a}_{out} * pow({d!r}D, b.rows - 1 - b.i_{out})) + s.{a} * pow({d!r}D, b.rows)"
+
+        def seen(a: str) -> str:  # as of its last present value
+            return f"b.{a}_{out} + s.{a} * pow({d!r}D, b.i_{out} + 1)"
+
+        return f"""aggregate(_b,
+            struct(cast(array() as array<struct<n: double, d: double, e: double>>) as past, {first(out)}),
+            (s, b) -> struct(
+                concat(s.past, array(struct(s.n as n, s.d as d, s.e as e))) as past, {upto('n')} as n, {upto('d')} as d,
+                if(b.i_{out} is null, s.e, try_divide({seen('n')}, {seen('d')})) as e),
+            s -> s.past) as _p_{out}"""
+
+    folded = blocks.selectExpr("symbol", "transform(_b, b -> b._blk) as _blks", *[past(out, d) for out, (_, d) in specs.items()])
+    each = folded.selectExpr("symbol", "explode(arrays_zip(_blks, " + ", ".join(f"_p_{out}" for out in specs) + ")) as _x")
+    return each.selectExpr("symbol", "_x._blks as _blk", *[f"_x._p_{out}.{p} as _in{p}_{out}" for out in specs for p in "nde"])
 
 
 # -- fills --------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.calendar import TradingCalendar
 from barloom.plans.features import FEATURE_NAMES, features
+from barloom.plans.handover import RangeState, range_state
 from barloom.plans.metrics import metrics
 from barloom.plans.models import BoostedTrees, Forecaster
 from barloom.sources.bars import bars_between, open_bars
@@ -22,6 +23,9 @@ class Engine:
     that ``lagret12`` is measured against is taken over the warm-up rows too. A trading day of the
     range that a stored table has no file for is an error; ``look_for_days`` looks for
     days without rows in any other frame, at the cost of an aggregate over ``date``.
+
+    With ``state_root`` a range goes on from the state stored there as of the trading day before it, if
+    there is one; ``hand_over`` stores the state as of its end. ``plan`` must then take a ``state``.
     """
 
     def __init__(
@@ -32,8 +36,11 @@ class Engine:
         plan: Callable[..., DataFrame] = features,
         warmup_days: int = 0,
         look_for_days: bool = False,
+        state_root: str | None = None,
     ):
-        self.look_for_days = look_for_days
+        if state_root and warmup_days:
+            raise ValueError("a stored state takes the place of warm-up days")
+        self.look_for_days, self.state_root = look_for_days, state_root
         self.bars, self.calendar, self.plan, self.warmup_days = bars, calendar, plan, warmup_days
         self.model = model or BoostedTrees(list(FEATURE_NAMES))
 
@@ -53,9 +60,25 @@ class Engine:
             raise ValueError(f"no trading days in [{start}, {end}]")
         before = self.calendar.days_before(days[0], self.warmup_days) if self.warmup_days else []
         first = before[0] if before else days[0]
-        df = self.plan(bars_between(self.bars, self.calendar, first, days[-1], self.look_for_days))
+        bars = bars_between(self.bars, self.calendar, first, days[-1], self.look_for_days)
+        df = self.plan(bars, state=self._before(days[0])) if self.state_root else self.plan(bars)
         return df.where(f"date >= {days[0]}") if before else df
 
+    def _before(self, day: int) -> RangeState | None:
+        earlier = self.calendar.days_before(day, 1)
+        return RangeState.read(self.bars.sparkSession, self.state_root, earlier[0]) if earlier else None
+
+    def hand_over(self, start: int | str, end: int | str) -> RangeState:
+        """Store what the next range goes on from; running it again gives the same."""
+        if not self.state_root:
+            raise ValueError("no folder for states given")
+        days = self.calendar.range_list(start, end)
+        if not days:
+            raise ValueError(f"no trading days in [{start}, {end}]")
+        bars = bars_between(self.bars, self.calendar, days[0], days[-1], self.look_for_days)
+        range_state(bars, self._before(days[0])).write(self.state_root, days[-1])
+        return RangeState.read(self.bars.sparkSession, self.state_root, days[-1])
+
     def fit(self, start: int | str, end: int | str) -> "Engine":
         self.model.fit(self.features(start, end))
         return self

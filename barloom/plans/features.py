@@ -137,9 +137,12 @@ def features(
     mean_scope: str = "symbol",
     label_null: str = "zero",
     max_rows: int | None = MAX_ROWS,
+    state=None,
 ) -> DataFrame:
     """Key columns, the named features (default: all 62, in order) and the label.
 
+    ``state``: the ``RangeState`` of the bars before these; without one, windows start empty.
+
     ``mean_scope`` says which rows share the mean return that ``lagret12`` is
     measured against: those of the same ``symbol`` and interval, or the whole
     ``universe`` at that interval. A missing label becomes 0 (``zero``) or its
@@ -152,16 +155,13 @@ def features(
     if mean_scope not in ("symbol", "universe"):
         raise ValueError(f"mean_scope must be 'symbol' or 'universe', got {mean_scope!r}")
 
-    s = _prepare(bars, label_null, mean_scope, True, max_rows, with_mean=any("lagret12" in n or "cx_" in n for n in names))
+    if state is not None and state.mean_scope != mean_scope:
+        raise ValueError(f"the state holds means of scope {state.mean_scope!r}")
+    with_mean = any("lagret12" in n or "cx_" in n for n in names)
+    s = _prepare(bars, label_null, mean_scope, True, max_rows, with_mean, state)
     s = s.with_df(s.df.selectExpr("*", f"{imbalance(*QUANTITIES)} as trade_imb", f"{log1p0('midpx')} as log_midpx"))
 
-    decay = span_decay(EMA_SPAN)
-    means = {
-        "trade_imbema5": ("trade_imb", halflife_decay(IMBALANCE_HALFLIFE)),
-        "ema_trade_imb": ("trade_imb", decay),
-        **{f"ema_{c}": (c, decay) for c in PRICES},
-    }
-    s = ewm(s, {out: spec for out, spec in means.items() if any(out in n for n in names)})
+    s = ewm(s, {out: spec for out, spec in weighted_means().items() if any(out in n for n in names)})
     trail = list(range(1, TRAIL))
     s = lags(
         s,
@@ -177,6 +177,16 @@ def features(
     return _emit(df, {n: catalogue[n] for n in names})
 
 
+def weighted_means() -> dict[str, tuple[str, float]]:
+    """The exponentially weighted means: {name: (column, decay)}."""
+    decay = span_decay(EMA_SPAN)
+    return {
+        "trade_imbema5": ("trade_imb", halflife_decay(IMBALANCE_HALFLIFE)),
+        "ema_trade_imb": ("trade_imb", decay),
+        **{f"ema_{c}": (c, decay) for c in PRICES},
+    }
+
+
 def baseline_features(bars: DataFrame, label_null: str = "zero", max_rows: int | None = MAX_ROWS) -> DataFrame:
     """The six-feature set: plain denominators, mean return over all symbols.
 
@@ -194,23 +204,41 @@ def baseline_features(bars: DataFrame, label_null: str = "zero", max_rows: int |
 # -- stages -------------------------------------------------------------------------
 
 
-def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows: int | None, with_mean: bool = True) -> Series:
+def clean_rows(bars: DataFrame) -> DataFrame:
+    """Key, numeric columns and label, with one form of missing data."""
+    require_columns(bars, (*KEY, *BAR_COLUMNS))
+    columns = [*BAR_COLUMNS, *([LABEL] if LABEL in bars.columns else [])]
+    return clean(bars.selectExpr(*KEY, *[f"cast({c} as double) as {c}" for c in columns]), columns)
+
+
+def given_rows(raw: DataFrame, state) -> DataFrame:
+    """The rows and, with a state, its bars before them; ``_given`` tells them apart."""
+    if state is None:
+        return raw
+    before = state.series.select("symbol", F.inline("bars"), F.lit(False).alias("_given"))
+    return raw.withColumn("_given", F.lit(True)).unionByName(before, allowMissingColumns=True)
+
+
+def placed(raw: DataFrame, layout: Layout | None, state) -> Series:
+    return place(raw, layout) if state is None else place(raw, layout, state.series, state.series.count())
+
+
+def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows: int | None, with_mean: bool = True, state=None) -> Series:
     """Cleaned, indexed series with ``bret12`` and ``cx_bret12``."""
     if label_null not in ("zero", "drop"):
         raise ValueError(f"label_null must be 'zero' or 'drop', got {label_null!r}")
-    require_columns(bars, (*KEY, *BAR_COLUMNS))
+    raw = clean_rows(bars)
     prefer_compiled_projections(bars.sparkSession)
-    columns = [*BAR_COLUMNS, *([LABEL] if LABEL in bars.columns else [])]
-    raw = clean(bars.selectExpr(*KEY, *[f"cast({c} as double) as {c}" for c in columns]), columns)
-    if LABEL in columns and label_null == "drop":
+    if LABEL in raw.columns and label_null == "drop":
         # The rows still feed the windows; they go together with the copies.
         raw = raw.selectExpr("*", f"{LABEL} is not null as _keep")
+    raw = given_rows(raw, state)
     layout = find_layout(raw, before=RETURN_LAG, max_rows=max_rows)
-    windowed = scope == "symbol" and layout is None
+    windowed = scope == "symbol" and layout is None and state is None
     if with_mean and not windowed:
-        raw = _join_mean(raw, layout, scope, guard)
+        raw = _join_mean(raw, layout, scope, guard, state)
     # The lag and the row index are in one window.
-    s = _back_return(index_rows(lags(place(raw, layout), {"midpx": [RETURN_LAG]})), guard)
+    s = _back_return(index_rows(lags(placed(raw, layout, state), {"midpx": [RETURN_LAG]})), guard)
     if windowed:
         # The exchange on symbol already serves this window.
         group = Window.partitionBy("symbol", "interval")
@@ -225,7 +253,18 @@ def _back_return(s: Series, guard: bool) -> Series:
     return s.with_df(s.df.selectExpr("*", f"{value} as bret12"))
 
 
-def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool) -> DataFrame:
+def mean_sums(raw: DataFrame, layout: Layout | None, scope: str, guard: bool, state=None) -> DataFrame:
+    """Total and number of the returns of each group, those of the state included; from the key and ``midpx`` alone."""
+    on = ["interval"] if scope == "universe" else ["symbol", "interval"]
+    narrow = raw.select(*KEY, "midpx", *([] if state is None else ["_given"]))
+    s = _back_return(lags(placed(narrow, layout, state), {"midpx": [RETURN_LAG]}), guard)
+    sums = s.own().groupBy(*on).agg(F.sum("bret12").alias("total"), F.count("bret12").alias("rows"))
+    if state is None:
+        return sums
+    return sums.unionByName(state.means).groupBy(*on).agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
+
+
+def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool, state=None) -> DataFrame:
     """Join ``cx_bret12`` to the raw rows, from a pass over the key and ``midpx`` alone.
 
     Sum and count are combined map-side. The means are broadcast if the number of
@@ -233,9 +272,8 @@ def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool) -
     for the join and not the three times wider features; AQE splits a hot group.
     """
     on = ["interval"] if scope == "universe" else ["symbol", "interval"]
-    groups = raw.select(*on).distinct().count()
-    s = _back_return(lags(place(raw.select(*KEY, "midpx"), layout), {"midpx": [RETURN_LAG]}), guard)
-    means = s.own().groupBy(*on).agg(F.avg("bret12").alias("cx_bret12"))
+    groups = raw.select(*on).distinct().count() + (0 if state is None else state.means.count())
+    means = mean_sums(raw, layout, scope, guard, state).selectExpr(*on, "try_divide(total, rows) as cx_bret12")
     return raw.join(broadcast_up_to(means, groups), on, "left").select(*raw.columns, "cx_bret12")
 
 

@@ -53,3 +53,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, cuts the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever file system it names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
