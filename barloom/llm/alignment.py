@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from barloom.llm.common import Stored, arrow
 
-GROUP = 1 << 20  # characters of the documents that are merged at once, about
-MEMO = 400_000  # parts whose ids a worker remembers
+GROUP = 1 << 18  # characters of the documents that are merged at once, about
+MEMO = 200_000  # parts whose ids a worker remembers
 LONG = 40  # characters; longer parts are not remembered
 LANE = 512
 GATHER = 1 << 19  # tokens whose bytes are compared at once
