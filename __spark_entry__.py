@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,17 +18,19 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from barloom.operators.calendar import TradingCalendar  # noqa: E402
 from barloom.operators.prepare import (  # noqa: E402
-    clean_bars, fill_mean, fit_components, minmax, price_series, volume_series,
+    clean_bars, fill_mean, fit_components, price_series, scaled_bars, volume_series,
 )
 from barloom.operators.blocks import series  # noqa: E402
 from barloom.operators.windows import bfill, ffill  # noqa: E402
 from barloom.operators.profile import box_stats, describe, histogram, info, missing_check  # noqa: E402
+from barloom.plans.elimination import eliminate  # noqa: E402
 from barloom.plans.engine import Engine  # noqa: E402
 from barloom.plans.features import (  # noqa: E402
     BASELINE_NAMES, FEATURE_NAMES, INTERMEDIATE_NAMES, baseline_features, features,
 )
 from barloom.plans.metrics import metrics  # noqa: E402
-from barloom.plans.models import BoostedTrees, Ridge, Tree, eliminate, split_importance  # noqa: E402
+from barloom.plans.models import BoostedTrees, Ridge, Tree, split_importance  # noqa: E402
+from barloom.session import ensure_checkpoint_dir  # noqa: E402
 from barloom.sources.bars import bars_between, bars_of_symbol, bars_on  # noqa: E402
 from barloom.sources.events import labelled_bars  # noqa: E402
 from barloom.sources.schema import BAR_COLUMNS, KEY, LABEL  # noqa: E402
@@ -156,26 +159,27 @@ def _importance(bars: DataFrame) -> DataFrame:
 
 
 def _elimination(bars: DataFrame) -> DataFrame:
-    table = baseline_features(bars)
-    names = list(BASELINE_NAMES)
-    return eliminate(table, names, smallest=3, settings=dict(maxDepth=3, maxIter=3)).table(bars.sparkSession)
+    table, spark = baseline_features(bars), bars.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/elimination-{uuid.uuid4().hex}"
+    return eliminate(table, list(BASELINE_NAMES), root, smallest=3, settings=dict(maxDepth=3, maxIter=3)).log(spark)
 
 
 def _scaled(bars: DataFrame) -> DataFrame:
-    return minmax(clean_bars(bars), VALUES).select(*KEY, *VALUES)
+    return scaled_bars(bars, VALUES).select(*KEY, *VALUES)
 
 
 def _loadings(columns: list[str]) -> Callable[[DataFrame], DataFrame]:
     def run(bars: DataFrame) -> DataFrame:
         scaled = _scaled(bars)
-        return fit_components(scaled, columns).loadings(scaled)
+        return fit_components(scaled, columns, shift=0.5).loadings(scaled)
 
     return run
 
 
 def _scores(bars: DataFrame) -> DataFrame:
     scaled = _scaled(bars)
-    return fit_components(scaled, VALUES).scores(scaled)
+    return fit_components(scaled, VALUES, shift=0.5).scores(scaled)
 
 
 def entry(spark: SparkSession) -> DataFrame:

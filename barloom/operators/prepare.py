@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.functions.columns import clean
 from barloom.operators.blocks import MAX_ROWS, series
+from barloom.operators.moments import moments
 from barloom.operators.profile import numeric_columns
 from barloom.operators.windows import fill_both
 
@@ -45,56 +46,100 @@ def fill_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, F.lit(means[c])) for c in columns})
 
 
-def clean_bars(bars: DataFrame, fill: bool = True, max_rows: int | None = MAX_ROWS) -> DataFrame:
+@dataclass(frozen=True)
+class Counts:
+    """What one aggregate per symbol, and one over its results, tells about the rows outside the lunch break."""
+
+    most_rows: int  # of one symbol
+    open_columns: list[str]  # without a value in some symbol
+    halves: dict[str, tuple[float, float] | None]  # extremes, halved
+    whole: bool  # no row lacks its place in a series or a value of another kind
+
+
+KEYS = ("symbol", "date", "interval")
+
+
+def count_bars(bars: DataFrame) -> Counts:
+    """One pass, aggregated by symbol; a column without any value is an error."""
+    kept = drop_lunch(clean(bars)).where("symbol is not null")
+    columns = numeric_columns(kept, KEYS)
+    others = [c for c in bars.columns if c not in columns and c != "symbol"]
+    numbers = {c: f"c{i}" for i, c in enumerate(columns)}
+    per_symbol = kept.groupBy("symbol").agg(
+        F.count("*").alias("rows"), F.count_if(F.expr(" or ".join(["false", *[f"`{c}` is null" for c in others]]))).alias("gaps"),
+        *[F.count(f"`{c}`").alias(f"n_{a}") for c, a in numbers.items()],
+        *[f(_half(c)).alias(f"{name}_{a}") for c, a in numbers.items() for name, f in (("lo", F.min), ("hi", F.max))])
+    row = per_symbol.agg(
+        F.max("rows").alias("rows"), F.sum("gaps").alias("gaps"),
+        *[f(f"{name}_{a}").alias(f"{out}_{a}") for a in numbers.values()
+          for out, name, f in (("least", "n", F.min), ("most", "n", F.max), ("lo", "lo", F.min), ("hi", "hi", F.max))]).first()
+    empty = [c for c, a in numbers.items() if row[f"most_{a}"] == 0]
+    if empty:
+        raise ValueError(f"columns without any value: {empty}")
+    halves = {c: None if row[f"lo_{a}"] is None else (row[f"lo_{a}"], row[f"hi_{a}"]) for c, a in numbers.items()}
+    return Counts(row["rows"] or 0, [c for c, a in numbers.items() if row[f"least_{a}"] == 0], halves, not row["gaps"])
+
+
+def clean_bars(bars: DataFrame, fill: bool = True, max_rows: int | None = MAX_ROWS, counts: Counts | None = None) -> DataFrame:
     """Infinities to missing, lunch break out, gaps filled, incomplete rows out.
 
     Gaps are filled forward, then backward, in (date, interval) order of each
     symbol; the column mean over the table fills what is left. ``fill=False``
     only drops the lunch break and incomplete rows, and leaves infinities alone.
+    The columns that need the mean, and the size of the symbols, come from one pass (``count_bars``).
     """
     if not fill:
         kept = drop_lunch(bars)
         floats = [c for c, t in kept.dtypes if t in ("double", "float")]
         return kept.where(" and ".join(f"not isnan(`{c}`)" for c in floats)).dropna("any") if floats else kept.dropna("any")
+    counts = counts or count_bars(bars)
     kept = drop_lunch(clean(bars))
-    columns = [c for c in numeric_columns(kept, ("symbol", "date", "interval"))]
-    # A symbol keeps a gap only in a column it has no value for at all: look for
-    # those by a partial aggregate instead of scanning the filled table for NULLs.
-    counts = kept.groupBy("symbol").agg(*[F.count(c).alias(c) for c in columns])
-    row = counts.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
-    empty = [c for c in columns if row[f"hi_{c}"] == 0]
-    if empty:
-        raise ValueError(f"columns without any value: {empty}")
-    filled = fill_both(series(kept, max_rows=max_rows), columns).own().select(*bars.columns)
-    left = [c for c in columns if row[f"lo_{c}"] == 0]
-    if left:
-        filled = fill_mean(filled, left)
+    columns = numeric_columns(kept, KEYS)
+    known = max_rows if max_rows is not None and counts.most_rows > max_rows else None
+    filled = fill_both(series(kept, max_rows=known), columns).own().select(*bars.columns)
+    # A symbol keeps a gap only in a column it has no value for at all.
+    if counts.open_columns:
+        filled = fill_mean(filled, counts.open_columns)
     return filled.dropna("any")
 
 
-def minmax(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _half(c: str):
+    value = F.col(f"`{c}`").cast("double")
+    return F.when(F.abs(value) < float("inf"), value / 2)  # NaN is above every number
+
+
+def minmax(df: DataFrame, columns: list[str] | None = None, halves: dict | None = None) -> DataFrame:
     """Scale columns to [0, 1] by their extremes over df; a constant column becomes 0, infinities are missing.
 
-    One aggregate finds the extremes; the scaling itself is a projection, on halves,
+    One aggregate finds the extremes unless their ``halves`` are given; the scaling itself is a projection, on halves,
     whose differences cannot overflow.
     """
     columns = numeric_columns(df, ("symbol", "interval")) if columns is None else columns
-
-    def half(c: str):
-        value = F.col(f"`{c}`").cast("double")
-        return F.when(F.abs(value) < float("inf"), value / 2)  # NaN is above every number
-
-    ends = df.agg(*[F.struct(F.min(half(c)).alias("lo"), F.max(half(c)).alias("hi")).alias(c) for c in columns]).first()
+    if halves is None:
+        ends = df.agg(*[F.struct(F.min(_half(c)).alias("lo"), F.max(_half(c)).alias("hi")).alias(c) for c in columns]).first()
+        halves = {c: tuple(ends[c]) for c in columns}
 
     def scaled(c: str):
-        lo, hi = ends[c]
+        lo, hi = halves[c] or (None, None)
         if lo is None:
             return F.lit(None).cast("double")
-        return (half(c) - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.when(half(c).isNotNull(), 0.0)
+        return (_half(c) - F.lit(lo)) / F.lit(hi - lo) if hi > lo else F.when(_half(c).isNotNull(), 0.0)
 
     return df.withColumns({c: scaled(c) for c in columns})
 
 
+def scaled_bars(bars: DataFrame, columns: list[str] | None = None, max_rows: int | None = MAX_ROWS) -> DataFrame:
+    """``minmax(clean_bars(bars))`` with one pass over the bars before the result's own.
+
+    Filling copies values within a column and adds means, so it leaves the extremes as they are; only if
+    rows go because they lack a key or a value of another kind are the extremes looked for again.
+    """
+    counts = count_bars(bars)
+    columns = numeric_columns(bars, ("symbol", "interval")) if columns is None else columns
+    known = counts.whole and set(columns) <= set(counts.halves)
+    return minmax(clean_bars(bars, max_rows=max_rows, counts=counts), columns, counts.halves if known else None)
+
+
 @dataclass
 class Components:
     """A fitted PCA. Components are signed so that their largest loading is positive."""
@@ -122,18 +167,20 @@ class Components:
         return df.select(*[c for c in keep if c in df.columns], *[score(j) for j in range(len(self.explained))])
 
 
-def fit_components(df: DataFrame, columns: list[str] | None = None, k: int = 2) -> Components:
-    """Principal components of the centred columns. Only p x p numbers reach the driver."""
-    columns = numeric_columns(df, ("symbol", "date", "interval")) if columns is None else columns
-    assembler = VectorAssembler(inputCols=columns, outputCol="_x")
-    vectors = assembler.transform(df).select("_x")
-    scaler = StandardScaler(withMean=True, withStd=False, inputCol="_x", outputCol="_c").fit(vectors)
-    model = PCA(k=k, inputCol="_c", outputCol="_s").fit(scaler.transform(vectors))
-    pc = model.pc.toArray().copy()
-    for j in range(k):
-        top = abs(pc[:, j]).argmax()
-        if pc[top, j] < 0:
+def fit_components(df: DataFrame, columns: list[str] | None = None, k: int = 2, shift: float | None = None) -> Components:
+    """Principal components of the centred columns, from one pass of co-moments. Only p x p numbers reach the driver.
+
+    ``shift``: a value near the means of all columns; without one they are looked for first.
+    """
+    columns = numeric_columns(df, KEYS) if columns is None else columns
+    found = moments(df, columns, None if shift is None else [shift] * len(columns))
+    if not found.rows or not found.complete:
+        raise ValueError("components need rows, and a value in every column of each")
+    values, vectors = np.linalg.eigh(found.covariance())
+    values, pc = np.maximum(values[::-1], 0), vectors[:, ::-1][:, :k].copy()
+    for j in range(pc.shape[1]):
+        if pc[abs(pc[:, j]).argmax(), j] < 0:
             pc[:, j] = -pc[:, j]
+    explained = values[:k] / values.sum() if values.sum() > 0 else np.zeros(len(values[:k]))
     return Components(columns, [(c, [float(x) for x in pc[i]]) for i, c in enumerate(columns)],
-                      [float(x) for x in model.explainedVariance.toArray()],
-                      [float(x) for x in scaler.mean.toArray()])
+                      [float(x) for x in explained], [float(x) for x in found.mean])

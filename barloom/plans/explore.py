@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.operators.blocks import MAX_ROWS
-from barloom.operators.prepare import Components, clean_bars, fit_components, minmax, price_series, volume_series
+from barloom.operators.prepare import Components, clean_bars, fit_components, minmax, price_series, scaled_bars, volume_series
 from barloom.operators.profile import box_stats, describe, histogram, info, missing_check, numeric_columns
 from barloom.sources.bars import bars_of_symbol, open_bars, read_day_file
 from barloom.sources.schema import KEY
@@ -69,7 +69,7 @@ class Exploration:
 
     @cached_property
     def scaled(self) -> DataFrame:
-        return minmax(self.cleaned, self.values)
+        return scaled_bars(self.data, self.values, self.max_rows) if self.fill else minmax(self.cleaned, self.values)
 
     def check(self) -> DataFrame:
         """Missing and infinite values left after scaling; all false when cleaning worked."""
@@ -77,7 +77,7 @@ class Exploration:
 
     @cached_property
     def components(self) -> Components:
-        return fit_components(self.scaled, self.values)
+        return fit_components(self.scaled, self.values, shift=0.5)  # scaled values are between 0 and 1
 
     def scores(self) -> DataFrame:
         return self.components.scores(self.scaled)

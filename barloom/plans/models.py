@@ -1,21 +1,21 @@
-"""Forecasting models on MLlib: boosted trees, a tree, ridge; importances and elimination."""
+"""Forecasting models: boosted trees and a tree on MLlib, ridge on summed normal equations; storage, nodes, importances."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.operators.blocks import broadcast_up_to
-from barloom.session import checkpointed, ensure_checkpoint_dir
+from barloom.operators.moments import moments
+from barloom.session import ensure_checkpoint_dir
 from barloom.sources.schema import FORECAST, KEY, LABEL
 
 VECTOR = "_features"
@@ -25,7 +25,6 @@ BOOSTED = dict(maxDepth=6, maxIter=90, stepSize=0.05, subsamplingRate=0.9, featu
                minInstancesPerNode=3, maxBins=256, seed=1000, lossType="squared")
 TREE = dict(maxDepth=10, maxBins=256, seed=42)
 RIDGE_ALPHA = 0.5
-RIDGE_TOL = 1e-8
 FOLDS = 3
 
 
@@ -45,6 +44,7 @@ class Forecaster:
     names: list[str]
     label: str = LABEL
     model: Model | None = field(default=None, init=False)
+    stored_at: str | None = field(default=None, init=False)  # folder that holds the fitted model
 
     def estimator(self, train: DataFrame) -> Estimator:
         raise NotImplementedError
@@ -56,7 +56,7 @@ class Forecaster:
         """The training set is read once per pass of the solver, so it is kept for the fit."""
         data = self.assemble(repeatable(train)).select(VECTOR, self.label).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.model = self.estimator(data).fit(data)
+            self.model, self.stored_at = self.estimator(data).fit(data), None
         finally:
             data.unpersist()
         return self
@@ -69,6 +69,31 @@ class Forecaster:
         out = self.model.transform(self.assemble(df))
         return out.select(*[c for c in KEY if c in df.columns], FORECAST, *label)
 
+    def save(self, path: str) -> "Forecaster":
+        """Store the fitted model with the names of its columns; what was at ``path`` is replaced."""
+        if self.model is None:
+            raise ValueError("fit the model first")
+        spark = SparkSession.active()
+        self._write(spark, f"{path}/model")
+        rows = [(-1, self.label), *enumerate(self.names)]
+        spark.createDataFrame(rows, "place int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+        self.stored_at = path
+        return self
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Forecaster":
+        """The model stored at ``path``, ready to predict."""
+        columns = {r["place"]: r["name"] for r in spark.read.parquet(f"{path}/columns").collect()}
+        made = cls([columns[i] for i in range(len(columns) - 1)], columns[-1])
+        made.model, made.stored_at = made._read(spark, f"{path}/model"), path
+        return made
+
+    def _write(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(path)
+
+    def _read(self, spark: SparkSession, path: str) -> Model:
+        return self.kind.load(path)
+
     def _columns(self) -> dict[str, str]:
         return dict(featuresCol=VECTOR, labelCol=self.label, predictionCol=FORECAST)
 
@@ -76,6 +101,7 @@ class Forecaster:
 @dataclass
 class BoostedTrees(Forecaster):
     settings: dict = field(default_factory=dict)
+    kind = GBTRegressionModel
 
     def estimator(self, train: DataFrame) -> Estimator:
         # MLlib cuts the lineage of its residuals every few rounds if it has a folder for it.
@@ -86,42 +112,85 @@ class BoostedTrees(Forecaster):
 @dataclass
 class Tree(Forecaster):
     settings: dict = field(default_factory=dict)
+    kind = DecisionTreeRegressionModel
 
     def estimator(self, train: DataFrame) -> Estimator:
         return DecisionTreeRegressor(**self._columns(), **{**TREE, **self.settings})
 
 
+@dataclass
+class LinearModel:
+    """A weight for each named column, no intercept."""
+
+    names: list[str]
+    coefficients: DenseVector
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        terms = " + ".join(f"`{c}` * {float(w)!r}D" for c, w in zip(self.names, self.coefficients))
+        return df.withColumn(FORECAST, F.expr(f"cast({terms or '0'} as double)"))
+
+
 @dataclass
 class Ridge(Forecaster):
     """Least squares with an L2 penalty ``alpha`` on the sum of squares, no intercept.
 
-    The normal equations are summed up on the executors. MLlib divides the loss
-    by n and the penalty by the label's deviation; the parameter undoes both. A
-    constant label, which MLlib refuses to regularise, is a ValueError.
+    The normal equations are summed up on the executors in one pass, and solved for as many unknowns
+    as there are columns. Any label will do, a constant one too.
     """
 
     alpha: float = RIDGE_ALPHA
 
-    def estimator(self, train: DataFrame) -> Estimator:
-        n, deviation = train.agg(F.count("*"), F.stddev_pop(self.label)).first()
-        if not n:
+    def fit(self, train: DataFrame) -> "Ridge":
+        found = moments(train, [*self.names, self.label], [0.0] * (len(self.names) + 1))
+        if not found.rows:
             raise ValueError("the training set is empty")
-        if not deviation:
-            raise ValueError("the label is constant")
-        return LinearRegression(**self._columns(), solver="normal", elasticNetParam=0.0, fitIntercept=False,
-                                standardization=False, regParam=self.alpha * deviation / n, tol=RIDGE_TOL)
+        if not found.complete:
+            raise ValueError("the training set has missing values")
+        sums, p = found.raw(), len(self.names)
+        solve = np.linalg.solve if self.alpha > 0 else lambda a, b: np.linalg.lstsq(a, b, rcond=None)[0]
+        self.model, self.stored_at = LinearModel(list(self.names), DenseVector(solve(sums[:p, :p] + self.alpha * np.eye(p), sums[:p, p]))), None
+        return self
 
+    def assemble(self, df: DataFrame) -> DataFrame:
+        return df
 
-def split_importance(forecaster: Forecaster, spark) -> DataFrame:
+    def _write(self, spark: SparkSession, path: str) -> None:
+        rows = [(c, float(w)) for c, w in zip(self.names, self.model.coefficients)]
+        spark.createDataFrame(rows, "name string, weight double").coalesce(1).write.mode("overwrite").parquet(path)
+
+    def _read(self, spark: SparkSession, path: str) -> LinearModel:
+        weight = {r["name"]: r["weight"] for r in spark.read.parquet(path).collect()}
+        return LinearModel(list(self.names), DenseVector([weight[c] for c in self.names]))
+
+
+def node_table(forecaster: Forecaster, spark: SparkSession) -> DataFrame:
+    """(tree, node, feature, threshold, gain, rows, prediction): every node of a fitted tree model; leaves have no feature.
+
+    Read as data from the stored model. A model that was neither saved nor loaded is stored for that first.
+    """
+    if forecaster.stored_at is None:
+        ensure_checkpoint_dir(spark)
+        forecaster.save(f"{spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}")
+    nodes = spark.read.parquet(f"{forecaster.stored_at}/model/data")
+    if "treeID" not in nodes.columns:
+        nodes = nodes.select(F.lit(0).alias("treeID"), F.struct("*").alias("nodeData"))
+    names = spark.read.parquet(f"{forecaster.stored_at}/columns").where("place >= 0")
+    split = F.col("nodeData.leftChild") >= 0
+    flat = nodes.select(
+        F.col("treeID").alias("tree"), F.col("nodeData.id").alias("node"), F.when(split, F.col("nodeData.split.featureIndex")).alias("place"),
+        F.when(split, F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0))).alias("threshold"),
+        F.when(split, F.col("nodeData.gain")).alias("gain"), F.col("nodeData.rawCount").alias("rows"), F.col("nodeData.prediction").alias("prediction"))
+    return flat.join(F.broadcast(names), "place", "left").select("tree", "node", F.col("name").alias("feature"), "threshold", "gain", "rows", "prediction")
+
+
+def split_importance(forecaster: Forecaster, spark: SparkSession) -> DataFrame:
     """(feature, splits, fscore) of a fitted tree model, ascending; unused features are left out.
 
-    ``fscore`` is the share of all splits. The counts come from the model, whose
-    size depends on rounds and depth and not on the data.
+    ``fscore`` is the share of all splits.
     """
-    used = Counter(int(i) for i in re.findall(r"If \(feature (\d+) ", forecaster.model.toDebugString))
-    total = sum(used.values())
-    rows = [(forecaster.names[i], n, n / total) for i, n in used.items()]
-    return spark.createDataFrame(rows, "feature string, splits long, fscore double").orderBy("fscore", "feature")
+    splits = node_table(forecaster, spark).where("feature is not null").groupBy("feature").agg(F.count("*").alias("splits"))
+    share = F.col("splits") / F.sum("splits").over(Window.partitionBy(F.lit(0)))  # a row per feature
+    return splits.withColumn("fscore", share).orderBy("fscore", "feature")
 
 
 def date_folds(df: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -133,49 +202,3 @@ def date_folds(df: DataFrame, folds: int = FOLDS) -> DataFrame:
     place = (F.row_number().over(order) - 1) * folds
     days = days.select("date", F.floor(place / F.count("*").over(whole)).cast("int").alias("fold"))
     return df.join(broadcast_up_to(days, days.count()), "date")
-
-
-@dataclass
-class Elimination:
-    """Result of ``eliminate``: the chosen names and one row per step."""
-
-    selected: list[str]
-    steps: list[tuple[int, float, list[str], str | None]]
-
-    def table(self, spark) -> DataFrame:
-        rows = [(n, mse, dropped, ",".join(names)) for n, mse, names, dropped in self.steps]
-        return spark.createDataFrame(rows, "n_features int, mse double, dropped string, features string")
-
-
-def eliminate(df: DataFrame, names: list[str], label: str = LABEL, folds: int = FOLDS, smallest: int = 1,
-              settings: dict | None = None) -> Elimination:
-    """Backward elimination of one feature at a time by cross-validated squared error.
-
-    At each step the model is fitted on every fold split and on all rows; the
-    feature with the least importance in the latter goes. The set with the lowest
-    mean error over the folds wins. Folds are ranges of dates. ``settings``
-    overrides the boosted-tree settings; len(names) * (folds + 1) models are fitted.
-    """
-    spark = df.sparkSession
-    data = checkpointed(repeatable(date_folds(df.select(*[c for c in KEY if c in df.columns], *names, label), folds)))
-    current, steps = list(names), []
-    while len(current) >= smallest:
-        vectors = VectorAssembler(inputCols=current, outputCol=VECTOR).transform(data).select("fold", VECTOR, label)
-        vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            search = CrossValidator(
-                estimator=GBTRegressor(featuresCol=VECTOR, labelCol=label, predictionCol=FORECAST, **{**BOOSTED, **(settings or {})}),
-                estimatorParamMaps=ParamGridBuilder().build(),
-                evaluator=RegressionEvaluator(labelCol=label, predictionCol=FORECAST, metricName="mse"),
-                numFolds=folds, foldCol="fold", parallelism=folds,
-            ).fit(vectors)
-        finally:
-            vectors.unpersist()
-        weights = search.bestModel.featureImportances.toArray()
-        worst = min(range(len(current)), key=lambda i: (weights[i], i))
-        steps.append((len(current), float(search.avgMetrics[0]), list(current), current[worst] if len(current) > smallest else None))
-        current = [c for i, c in enumerate(current) if i != worst]
-        if not current:
-            break
-    best = min(steps, key=lambda s: (s[1], s[0]))
-    return Elimination(best[2], steps)

@@ -1,12 +1,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators.calendar import TradingCalendar
 from barloom.plans.engine import Engine
 from barloom.plans.features import BASELINE_NAMES, baseline_features, features
 from barloom.plans.metrics import metrics, summary_line
-from barloom.plans.models import BoostedTrees, Ridge, Tree, date_folds, eliminate, split_importance
+from barloom.plans.models import BoostedTrees, Ridge, Tree, date_folds, node_table, split_importance
 from support import random_bars
 
 FAST = dict(maxDepth=3, maxIter=4)
@@ -56,8 +57,12 @@ def test_ridge_closed_form(table):
     want = np.linalg.solve(x.T @ x + 0.5 * np.eye(3), x.T @ y)
     np.testing.assert_allclose(model.model.coefficients.toArray(), want, rtol=1e-10)
     assert model.predict(df).columns == ["symbol", "date", "interval", "forecast", "fret12"]
-    with pytest.raises(ValueError, match="constant"):
-        Ridge(names).fit(df.withColumn("fret12", df["a"] * 0 + 1))
+    flat = Ridge(names).fit(df.withColumn("fret12", df["a"] * 0 + 1))
+    np.testing.assert_allclose(flat.model.coefficients.toArray(), np.linalg.solve(x.T @ x + 0.5 * np.eye(3), x.sum(0)), rtol=1e-9)
+    with pytest.raises(ValueError, match="empty"):
+        Ridge(names).fit(df.limit(0))
+    with pytest.raises(ValueError, match="missing"):
+        Ridge(names).fit(df.withColumn("a", F.when(df["a"] > 0, df["a"])))
     with pytest.raises(ValueError, match="fit the model"):
         Ridge(names).predict(df)
 
@@ -94,12 +99,26 @@ def test_folds_are_date_ranges(table):
     assert [(r["fold"], r["min(date)"], r["count(1)"]) for r in per] == [(0, 20240101, 400), (1, 20240105, 400), (2, 20240109, 400)]
 
 
-def test_eliminate(spark, table):
+@pytest.mark.parametrize("model", [BoostedTrees(["a", "b", "noise"], settings=FAST), Tree(["a", "b", "noise"]), Ridge(["a", "b", "noise"])])
+def test_stored_models_forecast_the_same(spark, table, model, tmp_path):
     _, df = table
-    result = eliminate(df, ["a", "b", "noise"], settings=FAST)
-    assert [s[0] for s in result.steps] == [3, 2, 1] and result.steps[0][3] == "noise" and result.steps[1][3] == "b"
-    assert set(result.selected) >= {"a", "b"}
-    assert result.table(spark).count() == 3
+    before = model.fit(df).predict(df).orderBy("date", "interval").toPandas()
+    model.save(str(tmp_path / "m"))
+    loaded = type(model).load(spark, str(tmp_path / "m"))
+    assert loaded.names == ["a", "b", "noise"] and loaded.label == "fret12"
+    pd.testing.assert_frame_equal(loaded.predict(df).orderBy("date", "interval").toPandas(), before)
+    if not isinstance(model, Ridge):
+        a, b = (split_importance(m, spark).toPandas() for m in (model, loaded))
+        pd.testing.assert_frame_equal(a, b)
+
+
+def test_nodes(spark, table):
+    _, df = table
+    model = Tree(["a", "b", "noise"], settings=dict(maxDepth=2)).fit(df)
+    nodes = node_table(model, spark).toPandas()
+    assert len(nodes) == model.model.numNodes == 7 and nodes["feature"].notna().sum() == 3
+    root = nodes[nodes["node"] == 0].iloc[0]
+    assert root["feature"] == "a" and f"{root['threshold']}" in model.model.toDebugString and root["rows"] == 1200
 
 
 @pytest.fixture(scope="module")
