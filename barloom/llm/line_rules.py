@@ -41,8 +41,6 @@ SHARE = 0.01
 LEFT = 0.5
 PARTS = 4096
 
-DIGITS, LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def bound(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
@@ -81,14 +79,14 @@ def own_counts(text: Column) -> Column:
     full = F.filter(F.split(text, "\n"), lambda line: F.length(F.btrim(line, F.lit(BLANKS))) > 0)
     return F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), 0)), lambda words: F.struct(
         F.size(words).cast("bigint").alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
         bound(full, lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
         repeated_words(words).alias("n_repeat_words")))
 
 
 def normalised(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.translate(F.lower(line), DIGITS, "0" * 10), "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), "[\\x20\\x09-\\x0D]+", " "), F.lit(" "))
 
 
 def rows_of(docs: DataFrame, host: str, id_col: str, text_col: str) -> DataFrame:
@@ -101,8 +99,9 @@ def rows_of(docs: DataFrame, host: str, id_col: str, text_col: str) -> DataFrame
 def lines_of(rows: DataFrame) -> DataFrame:
     """_id, _h, _host, _at, _line (hash), _words of every line with a word."""
     each = rows.select("_id", "_h", "_host", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
-    plain = each.select("_id", "_h", "_host", "_at", normalised(F.col("_raw")).alias("_plain")).where("_plain <> ''")
-    words = F.length("_plain") - F.length(F.translate("_plain", " ", "")) + 1
+    # Exploded, so that the filter does not normalise a second time.
+    plain = each.select("_id", "_h", "_host", "_at", F.explode(F.array(normalised(F.col("_raw")))).alias("_plain")).where("_plain <> ''")
+    words = F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))) + 1
     return plain.select("_id", "_h", "_host", "_at", F.xxhash64("_plain").alias("_line"), words.alias("_words"))
 
 
