@@ -47,16 +47,20 @@ def describe(df: DataFrame, columns: list[str] | None = None, approx: bool = Fal
     columns = numeric_columns(df) if columns is None else columns
     df = clean(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
     names = ("p25", "p50", "p75")
+
+    def others(c: str) -> list[Column]:
+        return [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")]
+
+    order = ("column", "count", "mean", "std", "min", *names, "max")
     if approx:
         quart = {c: [F.percentile_approx(c, p, 10_000).alias(n) for p, n in zip((0.25, 0.5, 0.75), names)] for c in columns}
-    else:
-        exact = quantiles(df, columns, [0.25, 0.5, 0.75])
-        quart = {c: [F.lit(v).cast("double").alias(n) for v, n in zip(exact[c], names)] for c in columns}
-    return _per_column(df, {
-        c: [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-            *quart[c], F.max(c).alias("max")]
-        for c in columns
-    })
+        return _per_column(df, {c: [*others(c), *quart[c]] for c in columns}).select(*order)
+    if not columns:
+        raise ValueError("no numeric columns")
+    exact, rest = quantiles(df, columns, [0.25, 0.5, 0.75], extra={c: F.struct(*others(c)) for c in columns})
+    # One row per column, made of what two or three passes have found.
+    rows = [(c, rest[c]["count"], rest[c]["mean"], rest[c]["std"], rest[c]["min"], *exact[c], rest[c]["max"]) for c in columns]
+    return df.sparkSession.createDataFrame(rows, "column string, count bigint, " + ", ".join(f"{c} double" for c in order[2:]))
 
 
 def histogram(df: DataFrame, columns: list[str] | None = None, bins: int = BINS) -> DataFrame:
