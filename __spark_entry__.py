@@ -21,7 +21,7 @@ from barloom.operators.prepare import (  # noqa: E402
     clean_bars, fill_mean, fit_components, price_series, scaled_bars, volume_series,
 )
 from barloom.operators.blocks import series  # noqa: E402
-from barloom.operators.windows import bfill, ffill  # noqa: E402
+from barloom.operators.windows import bfill, ewm, ffill, halflife_decay, index_rows, span_decay  # noqa: E402
 from barloom.operators.profile import box_stats, describe, histogram, info, missing_check  # noqa: E402
 from barloom.plans.elimination import eliminate  # noqa: E402
 from barloom.plans.engine import Engine  # noqa: E402
@@ -46,6 +46,7 @@ except ImportError:
 Query = Callable[[SparkSession, str], DataFrame]
 
 VALUES = [*BAR_COLUMNS, LABEL]
+INFINITE_FEATURES = ["trend_high", "diff_high_low", "ratio_high_low", "ratio_open_close", "log_low", "ema_high", "ema_low", "moving_avg_open_5", "volatility_high_low"]
 TRAIN, TEST = (20240101, 20240120), (20240121, 20240131)
 
 
@@ -153,6 +154,50 @@ def _forecast(model) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
+def _forecast_rows(model, plan=features) -> Callable[[DataFrame], DataFrame]:
+    """The rows that are forecast, and whether each forecast is one a tree of these labels can give.
+
+    A tree's leaf is a mean of training labels; boosting adds shrunken trees of what is left, so it may
+    leave their range, but not by more than the range itself in few rounds.
+    """
+
+    def run(bars: DataFrame) -> DataFrame:
+        engine = _engine(bars, model(), plan).fit(*TRAIN)
+        low, high = engine.features(*TRAIN).agg(F.min(LABEL), F.max(LABEL)).first()
+        slack = 0.0 if isinstance(engine.model, Tree) else high - low
+        return engine.predict(engine.features(*TEST)).select(*KEY, LABEL, F.col("forecast").between(low - slack - 1e-9, high + slack + 1e-9).alias("in_range"))
+
+    return run
+
+
+def _gbt_eval(bars: DataFrame) -> DataFrame:
+    """The main run: 62 features, boosted trees fitted on one range, one row of metrics on the next."""
+    return _engine(bars, BoostedTrees(list(FEATURE_NAMES))).fit(*TRAIN).eval(*TEST)
+
+
+def _ridge_baseline(bars: DataFrame) -> DataFrame:
+    train = baseline_features(bars)
+    return Ridge(list(BASELINE_NAMES)).fit(train).predict(train).select(*KEY, F.round("forecast", 6).alias("forecast"), LABEL)
+
+
+def _long_ewm(spark: SparkSession, sf: str) -> DataFrame:
+    """Weighted means over series of every event of a type: far more rows than a bar series has."""
+    number = F.expr("case event_type when 'view' then 1L when 'click' then 2L when 'purchase' then 3L when 'signup' then 4L else 5L end")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(
+        number.alias("symbol"), _day("ts").alias("date"), F.unix_micros(F.col("ts").cast("timestamp")).alias("interval"),
+        F.when(F.col("user_id") % 4 != 0, F.col("value")).alias("x"))
+    means = ewm(index_rows(series(rows)), {"by_halflife": ("x", halflife_decay(5)), "by_span": ("x", span_decay(30))}).own()
+    return means.select(*KEY, *[F.round(c, 6).alias(c) for c in ("by_halflife", "by_span")])
+
+
+def _with_infinities(bars: DataFrame) -> DataFrame:
+    """Prices over counts that may be zero, as a file written elsewhere may hold them."""
+    inf = F.lit(float("inf"))
+    return bars.withColumns({
+        "high": F.when(F.col("asize0") == 0, inf).otherwise(F.col("high")), "low": F.when(F.col("bsize0") == 0, -inf).otherwise(F.col("low")),
+        "open": F.when(F.col("cxlSellQty") > 1, F.lit(float("nan"))).otherwise(F.col("open"))})
+
+
 def _importance(bars: DataFrame) -> DataFrame:
     engine = _engine(bars, BoostedTrees(list(FEATURE_NAMES))).fit(*TRAIN)
     return split_importance(engine.model, bars.sparkSession)
@@ -211,6 +256,14 @@ def queries() -> dict[str, Query]:
         "eval_metrics": _on_bars(lambda b: metrics(features(b, ["lagret12"]), "lagret12"), 6),
         "ridge_two_features": _on_bars(_ridge),
         "engine_fit_eval": _on_bars(_fit_eval, 6),
+        "ridge_baseline": _on_bars(_ridge_baseline),
+        "engine_gbt_eval": _on_bars(_gbt_eval),
+        "gbt_forecast_rows": _on_bars(_forecast_rows(lambda: BoostedTrees(list(FEATURE_NAMES), settings=dict(maxIter=5, maxDepth=3)))),
+        "tree_forecast_rows": _on_bars(_forecast_rows(lambda: Tree(list(FEATURE_NAMES)))),
+        "tree_baseline_rows": _on_bars(_forecast_rows(lambda: Tree(list(BASELINE_NAMES)), baseline_features)),
+        "feat_ewm_long": _long_ewm,
+        "feat_infinite_prices": _on_bars(lambda b: _rounded(features(_with_infinities(b), INFINITE_FEATURES))),
+        "eda_missing_infinite": _on_bars(lambda b: missing_check(_with_infinities(b).select("symbol", "interval", "date", *VALUES))),
         "gbt_forecast": _on_bars(_forecast(lambda: BoostedTrees(list(FEATURE_NAMES)))),
         "tree_forecast": _on_bars(_forecast(lambda: Tree(list(FEATURE_NAMES)))),
         "gbt_split_importance": _on_bars(_importance),
@@ -241,7 +294,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = all_sql(FAMILIES)
+    sql = all_sql(FAMILIES, INFINITE_FEATURES)
     if training is not None:
         sql |= training.oracle_sql() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
     return sql

@@ -136,7 +136,7 @@ def features_sql(names, scope: str = "symbol") -> str:
     return f"with {BARS}, {features_ctes(names, scope)} select {KEY}, {', '.join(_rounded(n, n) for n in names)}, fret12 from f"
 
 
-def baseline_sql() -> str:
+def baseline_sql(rounded: bool = True) -> str:
     values = {n: _imb(*s, guard=False) for n, s in BOOK.items()}
     values |= {"trade_imb": "trade_imb", "trade_imbema5": "trade_imbema5", "lagret12": "bret12 - cx_bret12"}
     return f"""with {BARS},
@@ -145,7 +145,8 @@ s as (select *, {_imb('tradeBuyQty', 'tradeSellQty', guard=False)} trade_imb, ro
   from bars window w as (partition by symbol order by date, "interval")),
 {_ewm('s', 'trade_imbema5', 'trade_imb', HALF5)},
 e as (select *, avg(bret12) over (partition by "interval") cx_bret12 from s join trade_imbema5_t using ({KEY}))
-select {KEY}, {', '.join(_rounded(n, f'coalesce({values[n]}, 0)') for n in BASELINE_NAMES)}, coalesce(fret12, 0) fret12 from e"""
+select {KEY}, {', '.join(_rounded(n, f'coalesce({values[n]}, 0)') if rounded else f'coalesce({values[n]}, 0) {n}' for n in BASELINE_NAMES)},
+  coalesce(fret12, 0) fret12 from e"""
 
 
 # -- calendar ---------------------------------------------------------------------------
@@ -189,6 +190,29 @@ w as (select (ay * bb - yb * ab) / (aa * bb - ab * ab) wa, (yb * aa - ay * ab) /
 p as (select {KEY}, {a} * wa + {b} * wb as forecast, fret12 from {test}, w)"""
 
 
+def solved_ctes(train: str, test: str, names, alpha: float = 0.5) -> str:
+    """CTE ``p``: forecasts of a ridge on any number of features, the normal equations solved by elimination."""
+    n = len(names)
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    sums = ", ".join(f"sum({names[i]} * {names[j] if j < n else 'fret12'}){f' + {alpha}::double' if i == j else ''} a{i}_{j}" for i, j in cells)
+    steps = [f"e0 as (select {sums} from {train})"]
+    for k in range(n):
+        row = [f"a{k}_{j} / a{k}_{k} a{k}_{j}" if i == k else f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} a{i}_{j}" for i, j in cells]
+        steps.append(f"e{k + 1} as (select {', '.join(row)} from e{k})")
+    forecast = " + ".join(f"{c} * a{i}_{n}" for i, c in enumerate(names))
+    return ",\n".join(steps) + f",\np as (select {KEY}, {forecast} as forecast, fret12 from {test}, e{n})"
+
+
+INFINITE = """
+infinite as (select * replace (
+  case when asize0 = 0 then 'inf'::double else high end as high, case when bsize0 = 0 then '-inf'::double else low end as low,
+  case when cxlSellQty > 1 then 'nan'::double else open end as open) from bars)"""
+
+LONG = f"""
+src as (select case event_type when 'view' then 1 when 'click' then 2 when 'purchase' then 3 when 'signup' then 4 else 5 end::bigint symbol,
+  cast(year(ts) * 10000 + month(ts) * 100 + day(ts) as int) date, epoch_us(ts) "interval",
+  case when user_id % 4 <> 0 then value end x, row_number() over (partition by event_type order by ts) rn from events)"""
+
 # -- exploration --------------------------------------------------------------------------
 
 NUMERIC = ("symbol", '"interval"', "date", *BAR_COLUMNS, "fret12")
@@ -203,8 +227,8 @@ k as (select {KEY}, {', '.join(f'coalesce({c}, avg({c}) over ()) {c}' for c in V
 """
 
 
-def per_column(template: str, columns=NUMERIC) -> str:
-    return " union all ".join(template.format(c=c, name=c.strip('"')) for c in columns)
+def per_column(template: str, columns=NUMERIC, source: str = "bars") -> str:
+    return " union all ".join(template.format(c=c, name=c.strip('"'), source=source) for c in columns)
 
 
 INFO_TYPES = {"symbol": "bigint", "interval": "bigint", "date": "int"}
@@ -242,7 +266,8 @@ BOX = """select * from (
     count(case when {c} > q3 + 1.5 * (q3 - q1) then 1 end) outliers_high
   from bars, q)"""
 
-MISSING = """select '{name}' as "column", coalesce(bool_or({c} is null), false) as has_null, false as has_inf from bars"""
+MISSING = """select '{name}' as "column", coalesce(bool_or({c} is null or isnan({c}::double)), false) as has_null,
+  coalesce(bool_or(isinf({c}::double)), false) as has_inf from {source}"""
 
 MINMAX = f"""
 mm as (select {KEY}, {', '.join(f'coalesce(({c} - min({c}) over ()) / nullif(max({c}) over () - min({c}) over (), 0), 0) {c}' for c in VALUES)} from k)
@@ -258,7 +283,7 @@ o as (select x1 * s1 x1, y1 * s1 y1, x2 * s2 x2, y2 * s2 y2 from (
 """
 
 
-def all_sql(families: dict[str, list[str]]) -> dict[str, str]:
+def all_sql(families: dict[str, list[str]], infinite: list[str]) -> dict[str, str]:
     shift = "case when lo > 0 and lo + ({n}) >= 0 then d end"
     sql = {
         "bars_from_events": f"with {BARS} select {BAR_SELECT} from bars",
@@ -289,6 +314,17 @@ def all_sql(families: dict[str, list[str]]) -> dict[str, str]:
 f_train as (select * from f where date between 20240101 and 20240120),
 f_test as (select * from f where date between 20240121 and 20240131),
 {ridge_ctes('f_train', 'f_test', 'ob_imb0', 'trade_imb')} {METRICS} from p""",
+        "ridge_baseline": f"with base as ({baseline_sql(rounded=False)}), {solved_ctes('base', 'base', BASELINE_NAMES)} "
+        f"select {KEY}, round(forecast, 6) + 0::double forecast, fret12 from p",
+        "feat_ewm_long": f"""with {LONG}, {_ewm('src', 'by_halflife', 'x', HALF5)}, {_ewm('src', 'by_span', 'x', SPAN30)}
+select {KEY}, round(by_halflife, 6) + 0::double by_halflife, round(by_span, 6) + 0::double by_span from by_halflife_t join by_span_t using ({KEY})""",
+        "feat_infinite_prices": f"with {BARS}, {INFINITE}, finite as (select * replace ("
+        + ", ".join(f"case when isfinite({c}) then {c} end as {c}" for c in ("high", "low", "open"))
+        + f") from infinite), {features_ctes(infinite, source='finite')} select {KEY}, {', '.join(_rounded(n, n) for n in infinite)}, fret12 from f",
+        "eda_missing_infinite": f"with {BARS}, {INFINITE} {per_column(MISSING, source='infinite')}",
+        # Of tree models, the rows they forecast: the label and that every forecast is in reach of the training labels.
+        **{name: f"with {BARS}, {features_ctes(['ob_imb0'])} select {KEY}, fret12, true in_range from f where date between 20240121 and 20240131"
+           for name in ("gbt_forecast_rows", "tree_forecast_rows", "tree_baseline_rows")},
         "eda_info": info_sql(),
         "eda_describe": f"with {BARS} {per_column(DESCRIBE)}",
         "eda_histogram": f"with {BARS} {per_column(HISTOGRAM)}",
