@@ -237,10 +237,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, features:
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row, and the columns named in ``keep`` as they are."""
     keep = keep or []
-    fields = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    # The text goes to the tasks once, whether it is kept or not; a null one counts as empty there.
+    fields = {c: "_text" if c == "text" else f"_keep{i}" for i, c in enumerate(keep)}
     rows = docs.select(
-        id_key().alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), held_out(F.col("doc_id")).alias("held_out"),
-        *[F.col(f"`{c}`").alias(a) for c, a in fields.items()])
+        id_key().alias("_id"), F.col("text").alias("_text"), held_out(F.col("doc_id")).alias("held_out"),
+        *[F.col(f"`{c}`").alias(a) for c, a in fields.items() if c != "text"])
     kept = rows.select(*fields.values()).schema
     schema = kept.add("_id", "long").add("held_out", "boolean").add("score", "double")
     names = [*fields.values(), "_id", "held_out"]

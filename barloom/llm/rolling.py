@@ -29,44 +29,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Powers:
+    """Powers of the one base and of its inverse, for all seeds of a worker.
+
+    A text longer than ``MOST`` gets longer tables for as long as it is worked on.
+    """
+
+    BASE = int(np.random.default_rng(1).integers(0, 1 << 61)) * 8 + 5
+    MOST = 2 * GROUP
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = max(n + 1, 1 << 16)
+            self.up, self.down = (self._made(factor, size) for factor in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        elif len(self.up) > self.MOST + 1 and n <= self.MOST:
+            self.up, self.down = self.up[: n + 1].copy(), self.down[: n + 1].copy()
+
+    @staticmethod
+    def _made(factor: int, size: int) -> np.ndarray:
+        steps = np.full(size, factor, U64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+
+_POWERS = Powers()
+
+
 class Rolling:
-    """Substring hashes under one seed. Different seeds give independent hashes."""
+    """Substring hashes under one seed. Different seeds weigh the symbols independently."""
 
     def __init__(self, seed: int):
         self.seed = seed
         rng = np.random.default_rng(seed)
         self.table = rng.integers(0, 1 << 64, 256, dtype=np.uint64) | U64(1)
-        self.base = int(rng.integers(0, 1 << 61)) * 8 + 5
-        self.inverse = pow(self.base, -1, 1 << 64)
         self.salt = U64(int(rng.integers(1, 1 << 62)))
-        self._up = np.ones(1, U64)
-        self._down = np.ones(1, U64)
 
     def __reduce__(self):
         return shared, (self.seed,)  # a worker has one of each seed
 
-    def _grow(self, n: int) -> None:
-        if len(self._up) > n:
-            return
-        size = max(n + 1, 1 << 16)
-        for name, factor in (("_up", self.base), ("_down", self.inverse)):
-            steps = np.full(size, factor, U64)
-            steps[0] = 1
-            setattr(self, name, np.multiply.accumulate(steps))
-
     def prefix(self, symbols: np.ndarray) -> np.ndarray:
         """Prefix sums of a uint8 array, or of code points as uint32."""
         n = len(symbols)
-        self._grow(n)
+        _POWERS.reach(n)
         terms = self.table[symbols] if symbols.dtype == np.uint8 else mix(symbols.astype(U64) + self.salt) | U64(1)
         sums = np.zeros(n + 1, U64)
-        np.cumsum(terms * self._up[:n], out=sums[1:])
+        np.cumsum(terms * _POWERS.up[:n], out=sums[1:])
         return sums
 
     def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of the substrings [start, end); the length counts."""
-        self._grow(len(sums))
-        raw = (sums[end] - sums[start]) * self._down[start]
+        _POWERS.reach(len(sums))
+        raw = (sums[end] - sums[start]) * _POWERS.down[start]
         return mix(raw + (end - start).astype(U64) * self.salt)
 
     def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
@@ -74,8 +90,8 @@ class Rolling:
         n = len(sums) - 1
         if n < width:
             return np.empty(0, U64)
-        self._grow(n)
-        raw = (sums[width:] - sums[: n + 1 - width]) * self._down[: n + 1 - width]
+        _POWERS.reach(n)
+        raw = (sums[width:] - sums[: n + 1 - width]) * _POWERS.down[: n + 1 - width]
         return mix(raw + U64(width * int(self.salt) % (1 << 64)))
 
 
