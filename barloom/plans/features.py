@@ -120,6 +120,8 @@ TRAIL = 5
 IMBALANCE_HALFLIFE = 5
 EMA_SPAN = 30
 
+FIND = "find"
+
 PRICES = ("midpx", "high", "low", "open", "lastpx")
 QUANTITIES = ("tradeBuyQty", "tradeSellQty")
 # Columns with trailing statistics, and the highest moment each needs.
@@ -138,10 +140,12 @@ def features(
     label_null: str = "zero",
     max_rows: int | None = MAX_ROWS,
     state=None,
+    layout: Layout | None | str = FIND,
 ) -> DataFrame:
     """Key columns, the named features (default: all 62, in order) and the label.
 
     ``state``: the ``RangeState`` of the bars before these; without one, windows start empty.
+    ``layout``: a layout found before, None if every symbol fits a task; by default symbols are counted first.
 
     ``mean_scope`` says which rows share the mean return that ``lagret12`` is
     measured against: those of the same ``symbol`` and interval, or the whole
@@ -158,7 +162,7 @@ def features(
     if state is not None and state.mean_scope != mean_scope:
         raise ValueError(f"the state holds means of scope {state.mean_scope!r}")
     with_mean = any("lagret12" in n or "cx_" in n for n in names)
-    s = _prepare(bars, label_null, mean_scope, True, max_rows, with_mean, state)
+    s = _prepare(bars, label_null, mean_scope, True, max_rows, with_mean, state, layout)
     s = s.with_df(s.df.selectExpr("*", f"{imbalance(*QUANTITIES)} as trade_imb", f"{log1p0('midpx')} as log_midpx"))
 
     s = ewm(s, {out: spec for out, spec in weighted_means().items() if any(out in n for n in names)})
@@ -223,7 +227,8 @@ def placed(raw: DataFrame, layout: Layout | None, state) -> Series:
     return place(raw, layout) if state is None else place(raw, layout, state.series, state.series.count())
 
 
-def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows: int | None, with_mean: bool = True, state=None) -> Series:
+def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows: int | None, with_mean: bool = True, state=None,
+             layout: Layout | None | str = FIND) -> Series:
     """Cleaned, indexed series with ``bret12`` and ``cx_bret12``."""
     if label_null not in ("zero", "drop"):
         raise ValueError(f"label_null must be 'zero' or 'drop', got {label_null!r}")
@@ -233,7 +238,8 @@ def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows
         # The rows still feed the windows; they go together with the copies.
         raw = raw.selectExpr("*", f"{LABEL} is not null as _keep")
     raw = given_rows(raw, state)
-    layout = find_layout(raw, before=RETURN_LAG, max_rows=max_rows)
+    if layout == FIND:
+        layout = find_layout(raw, before=RETURN_LAG, max_rows=max_rows)
     windowed = scope == "symbol" and layout is None and state is None
     if with_mean and not windowed:
         raw = _join_mean(raw, layout, scope, guard, state)
