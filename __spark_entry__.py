@@ -284,8 +284,8 @@ def queries() -> dict[str, Query]:
         "eda_clean_drop": _on_bars(lambda b: clean_bars(b, fill=False).select(*KEY, *VALUES)),
         "eda_minmax": _on_bars(_scaled, 9),
         "eda_pca_two": _on_bars(_loadings(["midpx", "tradeBuyQty"]), 6),
-        "eda_pca_loadings": _on_bars(_loadings(VALUES)),
-        "eda_pca_scores": _on_bars(_scores),
+        "eda_pca_loadings": _on_bars(_loadings(VALUES), 6),
+        "eda_pca_scores": _on_bars(_scores, 6),
     }
     named |= {name: _features(names) for name, names in FAMILIES.items()}
     if training is not None:

@@ -283,6 +283,31 @@ o as (select x1 * s1 x1, y1 * s1 y1, x2 * s2 x2, y2 * s2 y2 from (
 """
 
 
+SQUARINGS = 14  # powers of the covariance up to 2 ** 14 leave its first direction only
+
+
+def components_ctes() -> str:
+    """CTE ``pcs``: feature, PC1, PC2 of the scaled columns, by repeated squaring of the covariance and one deflation."""
+    long = " union all ".join(f"select rn, '{c}' f, {c} x from numbered" for c in VALUES)
+    ctes = [f"numbered as (select row_number() over () rn, * from mm)", f"long as ({long})",
+            "centred as (select rn, f, x - avg(x) over (partition by f) x from long)",
+            "cov1 as (select a.f i, b.f j, sum(a.x * b.x) / (count(*) - 1) v from centred a join centred b on a.rn = b.rn group by 1, 2)"]
+    for c in (1, 2):
+        ctes.append(f"s{c}_0 as (select * from cov{c})")
+        for k in range(SQUARINGS):
+            ctes.append(f"s{c}_{k + 1} as (select a.i, b.j, sum(a.v * b.v) / (select pow(sum(v), 2) from s{c}_{k} where i = j) v"
+                        f" from s{c}_{k} a join s{c}_{k} b on a.j = b.i group by 1, 2)")
+        last = f"s{c}_{SQUARINGS}"
+        ctes += [
+            f"column{c} as (select i, v from {last} where j = (select arg_max(i, v) from {last} where i = j))",
+            f"top{c} as (select i, v / (select sqrt(sum(v * v)) from column{c}) * (select sign(arg_max(v, abs(v))) from column{c}) v from column{c})",
+            f"root{c} as (select sum(a.v * m.v * b.v) l from top{c} a join cov{c} m on a.i = m.i join top{c} b on b.i = m.j)"]
+        if c == 1:
+            ctes.append("cov2 as (select m.i, m.j, m.v - l * a.v * b.v v from cov1 m join top1 a on a.i = m.i join top1 b on b.i = m.j, root1)")
+    ctes.append('pcs as (select top1.i feature, top1.v "PC1", top2.v "PC2" from top1 join top2 using (i))')
+    return ",\n".join(ctes)
+
+
 def all_sql(families: dict[str, list[str]], infinite: list[str]) -> dict[str, str]:
     shift = "case when lo > 0 and lo + ({n}) >= 0 then d end"
     sql = {
@@ -344,6 +369,10 @@ select {KEY}, round(by_halflife, 6) + 0::double by_halflife, round(by_span, 6) +
         "eda_pca_two": PCA2 + "select 'midpx' feature, round(x1, 6) + 0::double \"PC1\", round(x2, 6) + 0::double \"PC2\" from o"
         " union all select 'tradeBuyQty', round(y1, 6) + 0::double, round(y2, 6) + 0::double from o",
     }
+    pca = f"with {BARS}, {CLEAN}, {MINMAX}, {components_ctes()}"
+    sql["eda_pca_loadings"] = pca + ' select feature, round("PC1", 6) + 0::double "PC1", round("PC2", 6) + 0::double "PC2" from pcs'
+    sql["eda_pca_scores"] = pca + f""" select symbol, date, "interval", round(sum(x * "PC1"), 6) + 0::double "PC1", round(sum(x * "PC2"), 6) + 0::double "PC2"
+from centred join pcs on f = feature join numbered using (rn) group by 1, 2, 3"""
     sql["eda_clean_fill_blocked"] = sql["eda_clean_fill"]
     for name, names in families.items():
         sql[name] = features_sql(names)

@@ -33,7 +33,7 @@ def test_every_statement_has_a_query():
     # Queries of the training package have tests of their own, against brute force where there is no SQL.
     added = set() if contract.training is None else {*contract.training.queries(), "pipeline"}
     assert set(QUERIES) - added - set(SQL) == {
-        "gbt_forecast", "tree_forecast", "engine_gbt_eval", "gbt_split_importance", "feature_elimination", "eda_pca_loadings", "eda_pca_scores"}
+        "gbt_forecast", "tree_forecast", "engine_gbt_eval", "gbt_split_importance", "feature_elimination"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
