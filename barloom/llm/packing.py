@@ -87,21 +87,25 @@ class Encoder:
         rest = [b for b in range(256) if b not in set(plain)]
         signs = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+        spelt = [i.to_bytes(4, "little") for i in range(whole.get_vocab_size())]
+
         def of_word(word: str) -> bytes:
-            return np.array([t.id for t in merge("".join([signs[b] for b in word.encode()]))], "<u4").tobytes()
+            # Letters of ASCII stand for themselves.
+            return b"".join([spelt[t.id] for t in merge(word if word.isascii() else "".join([signs[b] for b in word.encode()]))])
 
         words = Remembered(of_word, memo)
 
         def of_chunk(chunk: str) -> bytes:
             if _SIMPLE.fullmatch(chunk):
-                return b"".join(map(words.__getitem__, _PARTS.findall(chunk.lower())))
-            return np.array(encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+                parts = _PARTS.findall(chunk.lower())
+                return words[parts[0]] if len(parts) == 1 else b"".join([words[p] for p in parts])
+            return b"".join([spelt[i] for i in encode(chunk, add_special_tokens=False).ids])
 
         self.known = Remembered(of_chunk, 2 * memo)
 
     def __call__(self, text: str) -> bytes:
-        chunks = _BLANK.split(text) if _ODD.search(text) else text.split()
-        return b"".join(map(self.known.__getitem__, chunks))
+        known = self.known
+        return b"".join([known[c] for c in (_BLANK.split(text) if _ODD.search(text) else text.split())])
 
 
 _ENCODERS: dict[str, Encoder] = {}  # of this worker; it serves many tasks
