@@ -12,16 +12,20 @@ Conversations are streamed in order within a partition, one turn at a time, so
 memory does not grow with a conversation if the template says on how many
 earlier turns the rendering of a turn depends (``context``). Without that, every
 prefix is rendered in full. With it, the first ``VERIFY`` prefixes of each
-conversation still are, and a template that breaks its promise raises.
+conversation still are, and after them those at each power of two and at the end; a template that
+breaks its promise raises there. Of a conversation of more than ``KEPT`` turns, such a check
+renders the last ``KEPT``.
 
 Cases: null text or role is empty; null conversation ids form one conversation;
 turns are ordered by (turn, role, text), null turns first, so ties have one
-order; repeated rows are turns of their own.
+order; repeated rows are turns of their own; an empty table gives no rows, and other columns are
+ignored and may have any name.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from os.path import commonprefix
@@ -34,6 +38,7 @@ from barloom.llm.common import arrow
 
 Turn = tuple[str, str]  # role, text
 VERIFY = 12
+KEPT = 4096
 PROBES = ("a", "b")
 
 
@@ -114,6 +119,7 @@ class _Conversation:
         self.turns: list[Turn] = []
         self.n = self.length = 0
         self.whole = ""  # the output, as long as prefixes are rendered in full
+        self.last: deque[tuple[Turn, str]] = deque(maxlen=KEPT)  # turns and what they added
 
     def header(self, before: list[Turn], role: str) -> tuple[int, int]:
         """Characters that a turn adds in front of and behind its text."""
@@ -128,6 +134,16 @@ class _Conversation:
             self.probed[key] = found
         return found
 
+    def check(self) -> None:
+        """Render the turns that are kept at once: it must give what was put together turn by turn."""
+        turns, c = [t for t, _ in self.last], self.t.context
+        if self.t.render(turns) != self.t.render(turns[:c]) + "".join([a for _, a in self.last][c:]):
+            raise ValueError(f"the template depends on more than {c} earlier turns")
+
+    def finish(self) -> None:
+        if self.t.context is not None and self.n > VERIFY:
+            self.check()
+
     def add(self, role: str, text: str) -> tuple:
         full = self.t.context is None or self.n < VERIFY
         before = self.turns if self.t.context is None else self.turns[max(0, len(self.turns) - self.t.context):]
@@ -149,6 +165,10 @@ class _Conversation:
         row = (self.n, role, start, added, start, start + len(added), *own, rewrites)
         self.length, self.n = start + len(added), self.n + 1
         self.turns.append((role, text))
+        if self.t.context is not None:
+            self.last.append(((role, text), added))
+            if self.n > VERIFY and not self.n & (self.n - 1):
+                self.check()
         if self.t.context is None or self.n < VERIFY:
             self.whole = new
         elif len(self.turns) > self.t.context:
@@ -175,11 +195,15 @@ def format_turns(conversations: DataFrame, template: Template = INSTRUCT, rows_p
         for batch in batches:
             for conv, _, role, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if conv != current:
+                    if state is not None:
+                        state.finish()
                     current, state = conv, _Conversation(template, probed)
                 rows.append((conv, *state.add(role, text)))
                 if len(rows) >= rows_per_batch:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
                     rows = []
+        if state is not None:
+            state.finish()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
