@@ -11,7 +11,8 @@ with shards of what they were sent, so no task grows with the data, and the
 results of the shards are merged.
 
 Equal vectors are one vector with its k + 1 smallest ids: more cannot be among the
-results. Scores are integers and exact.
+results. Scores are integers and exact, beyond 64 bits they stop at the ends of the range. Distances
+are taken of vectors scaled down by a power of two, so that no finite vector overflows.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no
 part, nor do null ids; shorter vectors count as padded with zeros; rows equal in
@@ -28,19 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.llm.common import Stored, arrow
+from barloom.llm.negatives import EXACT, HIGH, matrix, packed
 
 SCALE = 256
 PIVOTS = 128
 BLOCK = 1024  # query vectors in a block
 SHARD = 16_384  # vectors in a shard, about
 SLACK = 1e-6  # relative, for the rounding of distances
-LIMIT = 1 << 52  # of squared norms: inner products are exact in doubles below it
 
-VECTOR_DDL = "vec_id bigint, _v binary, _sq bigint"
+VECTOR_DDL = "vec_id bigint, _v binary, _norm double, _width int"
 
 
 def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, floor(scale * x) as 32-bit integers, squared norm; only vectors that take part."""
+    """vec_id, floor(scale * x), its norm and number of components; only vectors that take part."""
     out = arrow(VECTOR_DDL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,14 +51,12 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
                 values = v.values
                 if values.null_count:
                     continue
-                x = np.floor(values.to_numpy(zero_copy_only=False).astype(float) * scale)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    x = np.floor(values.to_numpy(zero_copy_only=False).astype(float) * scale)
                 if not np.isfinite(x).all():
                     continue
-                sq = float(x @ x)
-                if sq >= LIMIT:
-                    raise ValueError(f"vector {i} is too long for exact scores")
-                end = np.flatnonzero(x)
-                rows.append((i, x[: end[-1] + 1 if len(end) else 0].astype("<i4").tobytes(), int(sq)))
+                most = float(np.abs(x).max(initial=0))
+                rows.append((i, packed(x), most * float(np.sqrt(((x / most) ** 2).sum())) if most else 0.0, len(x)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
@@ -65,21 +64,31 @@ def quantized(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return given.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, VECTOR_DDL)
 
 
-def _matrix(values: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(values), width))
-    for row, v in zip(out, values):
-        x = np.frombuffer(v, "<i4")
-        row[: len(x)] = x
-    return out
+def products(ask: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of all pairs, within the range of 64 bits."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        rough = ask @ have.T
+        exact = np.outer(np.sqrt((ask**2).sum(1)), np.sqrt((have**2).sum(1))) < EXACT
+        scores = np.where(exact, rough, 0).astype(np.int64)
+    for i in np.flatnonzero(~exact.all(1)).tolist():  # doubles may round here
+        q = [int(a) for a in ask[i].tolist()]
+        for j in np.flatnonzero(~exact[i]).tolist():
+            scores[i, j] = min(max(sum(a * int(b) for a, b in zip(q, have[j].tolist()) if a), -HIGH), HIGH)
+    return scores
 
 
 class Pivots:
-    """Distances to the pivots in the space with one more component."""
+    """Distances to the pivots in the space with one more component, of vectors scaled so that the largest norm is about 1."""
 
-    def __init__(self, points: list[bytes], width: int, top: int):
-        self.width, self.top = width, float(top)
-        self.points = _matrix(points, width)
-        self.more = np.sqrt(np.maximum(top - (self.points**2).sum(1), 0))
+    def __init__(self, points: list[bytes], width: int, norm: float):
+        self.width = width
+        self.down = 2.0 ** -np.ceil(np.log2(norm)) if norm else 1.0
+        self.top = (norm * self.down) ** 2
+        self.points = self.scaled(points)
+        self.more = np.sqrt(np.maximum(self.top - (self.points**2).sum(1), 0))
+
+    def scaled(self, values: list[bytes]) -> np.ndarray:
+        return matrix(values, self.width) * self.down
 
     def of_data(self, x: np.ndarray) -> np.ndarray:
         more = np.sqrt(np.maximum(self.top - (x**2).sum(1), 0))
@@ -95,13 +104,14 @@ def top_inner(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCA
     store = Stored(vectors.sparkSession)
     ddl = "query_id bigint, rank int, vec_id bigint, score bigint"
     rows = store.keep(quantized(vectors, scale))
-    nth = F.dense_rank().over(Window.partitionBy("_v", "_sq").orderBy("vec_id"))
-    distinct = store.keep(rows.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).groupBy("_v", "_sq").agg(F.sort_array(F.collect_set("vec_id")).alias("_ids")))
-    n, top, longest = distinct.agg(F.count("*"), F.max("_sq"), F.max(F.octet_length("_v"))).first()
+    nth = F.dense_rank().over(Window.partitionBy("_v").orderBy("vec_id"))
+    distinct = store.keep(rows.withColumn("_nth", nth).where(F.col("_nth") <= k + 1).groupBy("_v").agg(
+        F.sort_array(F.collect_set("vec_id")).alias("_ids"), F.max("_norm").alias("_norm"), F.max("_width").alias("_width")))
+    n, top, longest = distinct.agg(F.count("*"), F.max("_norm"), F.max("_width")).first()
     if not n:
         return vectors.sparkSession.createDataFrame([], ddl)
     points = [bytes(r["_v"]) for r in distinct.select("_v").orderBy(F.xxhash64("_v"), "_v").limit(pivots).collect()]
-    space = Pivots(points, max(longest // 4, 1), top)
+    space = Pivots(points, max(longest, 1), top)
     width, m, want = space.width, len(points), k + 1
 
     # Summaries of the cells: the smallest distances to the pivot.
@@ -111,7 +121,7 @@ def top_inner(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCA
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = space.of_data(_matrix(batch.column(0).to_pylist(), width))
+                d = space.of_data(space.scaled(batch.column(0).to_pylist()))
                 cell = d.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], schema=near_out)
 
@@ -130,7 +140,7 @@ def top_inner(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCA
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = space.of_queries(_matrix(batch.column(0).to_pylist(), width))
+                d = space.of_queries(space.scaled(batch.column(0).to_pylist()))
                 far = d[:, cells] + inner
                 theta = np.partition(far, want - 1, 1)[:, want - 1] if len(cells) >= want else np.full(len(d), np.inf)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d.argmin(1).astype(np.int32)), pa.array(theta)], schema=bound_out)
@@ -161,7 +171,7 @@ def top_inner(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCA
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = space.of_queries(_matrix(batch.column(0).to_pylist(), width))
+            d = space.of_queries(space.scaled(batch.column(0).to_pylist()))
             theta, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             order = np.argsort(at, kind="stable")
             begins = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
@@ -185,7 +195,7 @@ def top_inner(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCA
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d = space.of_data(_matrix(batch.column(0).to_pylist(), width))
+            d = space.of_data(space.scaled(batch.column(0).to_pylist()))
             cell = d.argmin(1)
             own = d[np.arange(len(d)), cell]
             deal = batch.column(2)
@@ -208,7 +218,7 @@ def top_inner(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCA
         if not names or not data:
             return found_out.empty_table()
         ids = have.column("_ids").to_pylist()
-        scores = _matrix(names, width) @ _matrix(data, width).T
+        scores = products(matrix(names, width), matrix(data, width))
         k_rows = min(want, len(data))
         least = np.partition(scores, -k_rows, 1)[:, -k_rows]
         rows = []
