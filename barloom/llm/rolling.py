@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 # Texts are hashed in groups of about this many symbols; a longer text is a group of its own.
-GROUP = 1 << 20
+GROUP = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
