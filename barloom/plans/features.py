@@ -238,11 +238,15 @@ def _prepare(bars: DataFrame, label_null: str, scope: str, guard: bool, max_rows
         # The rows still feed the windows; they go together with the copies.
         raw = raw.selectExpr("*", f"{LABEL} is not null as _keep")
     raw = given_rows(raw, state)
+    groups = None
+    if layout == FIND and with_mean and scope == "universe":
+        most, groups = _sizes(raw, state)
+        layout = find_layout(raw, before=RETURN_LAG, max_rows=max_rows) if max_rows is not None and most > max_rows else None
     if layout == FIND:
         layout = find_layout(raw, before=RETURN_LAG, max_rows=max_rows)
     windowed = scope == "symbol" and layout is None and state is None
     if with_mean and not windowed:
-        raw = _join_mean(raw, layout, scope, guard, state)
+        raw = _join_mean(raw, layout, scope, guard, state, groups)
     # The lag and the row index are in one window.
     s = _back_return(index_rows(lags(placed(raw, layout, state), {"midpx": [RETURN_LAG]})), guard)
     if windowed:
@@ -270,7 +274,15 @@ def mean_sums(raw: DataFrame, layout: Layout | None, scope: str, guard: bool, st
     return sums.unionByName(state.means).groupBy(*on).agg(F.sum("total").alias("total"), F.sum("rows").alias("rows"))
 
 
-def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool, state=None) -> DataFrame:
+def _sizes(raw: DataFrame, state) -> tuple[int, int]:
+    """Rows of the largest symbol and number of intervals, counted side by side in one read."""
+    sets = raw.groupingSets([["symbol"], ["interval"]], "symbol", "interval").agg(F.count("*").alias("n"), F.grouping("symbol").alias("by_interval"))
+    largest = F.max(F.when((F.col("by_interval") == 0) & F.col("symbol").isNotNull(), F.col("n")))
+    most, n = sets.agg(largest, F.count_if(F.col("by_interval") == 1)).first()
+    return most or 0, n + (0 if state is None else state.means.count())
+
+
+def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool, state=None, groups: int | None = None) -> DataFrame:
     """Join ``cx_bret12`` to the raw rows, from a pass over the key and ``midpx`` alone.
 
     Sum and count are combined map-side. The means are broadcast if the number of
@@ -278,7 +290,8 @@ def _join_mean(raw: DataFrame, layout: Layout | None, scope: str, guard: bool, s
     for the join and not the three times wider features; AQE splits a hot group.
     """
     on = ["interval"] if scope == "universe" else ["symbol", "interval"]
-    groups = raw.select(*on).distinct().count() + (0 if state is None else state.means.count())
+    if groups is None:
+        groups = raw.select(*on).distinct().count() + (0 if state is None else state.means.count())
     means = mean_sums(raw, layout, scope, guard, state).selectExpr(*on, "try_divide(total, rows) as cx_bret12")
     return raw.join(broadcast_up_to(means, groups), on, "left").select(*raw.columns, "cx_bret12")
 

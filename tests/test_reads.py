@@ -9,8 +9,10 @@ from barloom.operators.moments import moments
 from barloom.operators.prepare import clean_bars, count_bars, fit_components, minmax, scaled_bars
 from barloom.operators.profile import box_stats, describe
 from barloom.operators.quantiles import quantiles
+from barloom.plans.features import features
 from barloom.sources.schema import BAR_COLUMNS, LABEL
-from support import random_bars
+from support import pandas_features, random_bars
+from test_features import close
 
 VALUES = [*BAR_COLUMNS, LABEL]
 
@@ -113,3 +115,11 @@ def test_moments_with_missing_values(spark):
     np.testing.assert_allclose(found.centred[0, 1], both)
     np.testing.assert_allclose(found.centred[1, 0], both)
     assert moments(spark.createDataFrame([], "a double"), ["a"]).rows == 0
+
+
+def test_universe_mean_reads(spark):
+    pdf = random_bars(symbols=4, days=3, per_day=10)
+    frame, reads = counted(spark.createDataFrame(pdf))
+    got = features(frame, ["lagret12"], mean_scope="universe").toPandas()
+    assert reads.value == 3
+    close(got, pandas_features(pdf, "universe"), ["lagret12"])
