@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -30,6 +31,9 @@ MIN_REVISIT = 100  # bytes; smaller payloads are always stored
 ARCHIVE_BYTES = 32 << 20  # payload in an archive, about
 GAP = 64 << 10  # bytes between two records that are still read in one go
 READ = 8 << 20  # bytes in one read, but for a longer record
+SAMPLE = 500  # pages whose beginnings make the dictionary that payloads are shuffled with
+SAMPLE_CHARS = 8192
+DICTIONARY = 64 << 10
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that a record's bytes are repeatable
 
 
@@ -94,29 +98,60 @@ def build_index(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFra
     )
 
 
+def _dictionary(pages: DataFrame) -> bytes:
+    """What pages have in common, learnt from a few. Only the size of the shuffle depends on it."""
+    some = pages.where("html <> ''").select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(SAMPLE).collect()
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [r["html"].encode() for r in some]).as_bytes() if some else b""
+    except zstandard.ZstdError:  # too little to learn from
+        return b""
+
+
+def _shared(dictionary: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
+def _compressed(bodies: DataFrame, dictionary: bytes) -> DataFrame:
+    """The rows with ``_body`` compressed, each on its own."""
+    ddl = ", ".join(f"{c} {t}" for c, t in bodies.dtypes)
+    out = arrow(ddl)
+    at = bodies.columns.index("_body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, **_shared(dictionary))
+        for batch in batches:
+            made = pa.array([pack.compress(b.as_buffer()) for b in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], made.cast(out.field(at).type), *batch.columns[at + 1 :]], schema=out)
+
+    return bodies.mapInArrow(run, ddl)
+
+
 def write_archives(pages: DataFrame, index: DataFrame, path: str) -> None:
     """Write the archives an index describes; each is one file below ``path/_archive=n``.
 
     A page and its index row meet by going to the same archive: one shuffle
-    of the pages, in which the order within an archive is made as well.
+    of the pages, in which the order within an archive is made as well. Payloads
+    go through it compressed.
     """
     top = index.agg(F.max("_archive")).first()[0]
     if top is None:
         return
     n = top + 1
     url = F.coalesce("url", F.lit("")).alias("_url")
-    heads = index.select("_archive", "_id", "payload_digest", url, F.col("_at").cast("bigint").alias("_at"), "record_type", F.col("_header").alias("_body"))
+    heads = index.select("_archive", "_id", "payload_digest", url, F.col("_at").cast("bigint").alias("_at"), "record_type", F.encode("_header", "utf-8").alias("_body"))
     bodies = _payloads(pages).withColumn("_archive", _archive(n)).select(
-        "_archive", "_id", "payload_digest", url, F.lit(None).cast("bigint").alias("_at"), F.lit("").alias("record_type"), F.col("_html").alias("_body")
+        "_archive", "_id", "payload_digest", url, F.lit(None).cast("bigint").alias("_at"), F.lit("").alias("record_type"), F.encode("_html", "utf-8").alias("_body")
     )
-    met = heads.unionByName(bodies).repartition(n, "_archive").sortWithinPartitions(
+    dictionary = _dictionary(pages)
+    met = heads.unionByName(_compressed(bodies, dictionary)).repartition(n, "_archive").sortWithinPartitions(
         "_archive", "_id", "payload_digest", "_url", F.col("_at").asc_nulls_last()
     )
     ddl = "_archive int, record string"
     out = arrow(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[str, str]] = []  # headers of the page, in order; then as many equal bodies come
+        unpack = zstandard.ZstdDecompressor(**_shared(dictionary))
+        waiting: list[tuple[str, bytes]] = []  # headers of the page, in order; then as many equal bodies come
         for batch in batches:
             made = []
             for a, _, _, _, at, kind, body in zip(*(c.to_pylist() for c in batch.columns)):
@@ -124,7 +159,7 @@ def write_archives(pages: DataFrame, index: DataFrame, path: str) -> None:
                     waiting.append((kind, body))
                 else:
                     kind, header = waiting.pop(0)
-                    made.append((a, header + (body if kind == "response" else "")))
+                    made.append((a, (header + (unpack.decompress(body) if kind == "response" else b"")).decode()))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), out)], schema=out)
 
