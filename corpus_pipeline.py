@@ -46,12 +46,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+# Rows that go to Python at once. Texts are long, and a batch is held on both sides, beside the heap.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents; each result is stored and read again, and dropped when the next one is."""
+    """Apply all stages to the documents; each result is stored and read again, and dropped when the next one is.
+
+    The session's batch size is lowered for the run and set back after it.
+    """
     store, docs, before = Stored(spark), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for _, stage in STAGES:
-        docs = store.keep(stage(spark, docs, sf_dir))
-        if before is not None:
-            store.drop(before)
-        before = docs
+    usual = spark.conf.get(BATCH_SETTING, "10000")
+    spark.conf.set(BATCH_SETTING, str(min(BATCH_ROWS, int(usual)) if int(usual) > 0 else BATCH_ROWS))
+    try:
+        for _, stage in STAGES:
+            docs = store.keep(stage(spark, docs, sf_dir))
+            if before is not None:
+                store.drop(before)
+            before = docs
+    finally:
+        spark.conf.set(BATCH_SETTING, usual)
     return docs
