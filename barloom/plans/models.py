@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.operators.blocks import broadcast_up_to
 from barloom.operators.moments import moments
-from barloom.session import ensure_checkpoint_dir
+from barloom.session import checkpointed, drop_checkpoint, ensure_checkpoint_dir
 from barloom.sources.schema import FORECAST, KEY, LABEL
 
 VECTOR = "_features"
@@ -52,13 +54,18 @@ class Forecaster:
     def assemble(self, df: DataFrame) -> DataFrame:
         return VectorAssembler(inputCols=self.names, outputCol=VECTOR).transform(df)
 
-    def fit(self, train: DataFrame) -> "Forecaster":
+    @contextmanager
+    def kept(self, data: DataFrame) -> Iterator[DataFrame]:
         """The training set is read once per pass of the solver, so it is kept for the fit."""
-        data = self.assemble(repeatable(train)).select(VECTOR, self.label).persist(StorageLevel.MEMORY_AND_DISK)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            self.model, self.stored_at = self.estimator(data).fit(data), None
+            yield data
         finally:
             data.unpersist()
+
+    def fit(self, train: DataFrame) -> "Forecaster":
+        with self.kept(self.assemble(repeatable(train)).select(VECTOR, self.label)) as data:
+            self.model, self.stored_at = self.estimator(data).fit(data), None
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
@@ -103,6 +110,16 @@ class BoostedTrees(Forecaster):
     settings: dict = field(default_factory=dict)
     kind = GBTRegressionModel
 
+    @contextmanager
+    def kept(self, data: DataFrame) -> Iterator[DataFrame]:
+        """MLlib keeps the binned rows itself and runs a job for each level of each tree; every task of those
+        carries the plan behind the training set, so that is cut off by a checkpoint, which goes after the fit."""
+        data = checkpointed(data)
+        try:
+            yield data
+        finally:
+            drop_checkpoint(data)
+
     def estimator(self, train: DataFrame) -> Estimator:
         # MLlib cuts the lineage of its residuals every few rounds if it has a folder for it.
         ensure_checkpoint_dir(train.sparkSession)

@@ -55,6 +55,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a frame that ``checkpointed`` gave; it can't be read any more."""
+    sc = df.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever file system it names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

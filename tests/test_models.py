@@ -1,6 +1,9 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from barloom.operators.calendar import TradingCalendar
@@ -8,6 +11,7 @@ from barloom.plans.engine import Engine
 from barloom.plans.features import BASELINE_NAMES, baseline_features, features
 from barloom.plans.metrics import metrics, summary_line
 from barloom.plans.models import BoostedTrees, Ridge, Tree, date_folds, node_table, split_importance
+from barloom.session import ensure_checkpoint_dir
 from support import random_bars
 
 FAST = dict(maxDepth=3, maxIter=4)
@@ -83,6 +87,26 @@ def test_training_does_not_depend_on_the_partitioning(table):
     assert trees[0] == trees[1]
 
 
+def test_boosting_starts_from_a_stored_training_set(spark, table, monkeypatch):
+    """The tasks of each level carry all that the training set is made from, unless it is cut off."""
+    _, df = table
+    names, seen, fit = ["a", "b", "noise"], [], GBTRegressor.fit
+    ensure_checkpoint_dir(spark)
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    stored = lambda: {p.parent for p in root.glob("rdd-*/part-*")}
+    before = stored()
+
+    def watched(self, data):
+        seen.append((data._jdf.queryExecution().toRdd().toDebugString(), len(stored() - before)))
+        return fit(self, data)
+
+    monkeypatch.setattr(GBTRegressor, "fit", watched)
+    BoostedTrees(names, settings=FAST).fit(df)
+    (lineage, made), = seen
+    assert "ReliableCheckpointRDD" in lineage and "Shuffled" not in lineage and made == 1
+    assert stored() == before
+
+
 def test_split_importance(spark, table):
     _, df = table
     model = BoostedTrees(["a", "b", "noise"], settings=FAST).fit(df)
