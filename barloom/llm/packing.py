@@ -108,21 +108,24 @@ class Encoder:
         return b"".join([known[c] for c in (_BLANK.split(text) if _ODD.search(text) else text.split())])
 
 
-_ENCODERS: dict[str, Encoder] = {}  # of this worker; it serves many tasks
+_ENCODERS: dict[tuple[str, int], Encoder] = {}  # of this worker; it serves many tasks
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = Encoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 # _crc_a, _crc_b: checksums of the two parts, should a rest be cut after half a sequence.
 PIECE_DDL = "_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, _crc_a bigint, _crc_b bigint"
 
 
-def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
-    """Pieces of each document: start, length, checksum and, if wanted, the ids themselves."""
+def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
+    """Pieces of each document: start, length, checksum and, if wanted, the ids themselves.
+
+    ``memo``: what a worker remembers at most; less takes less memory and more time.
+    """
     ddl = PIECE_DDL + (", ids array<int>" if with_ids else "")
     out = arrow(ddl)
     last = np.array([end], "<u4").tobytes()
@@ -132,7 +135,7 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH, end: int = END, w
         return (zlib.crc32(piece[:half]), zlib.crc32(piece[half:])) if half < len(piece) < 2 * half else (None, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, memo)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -352,9 +355,9 @@ def pack(pieces: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame
     return placed.withColumn("offset", offset).drop("_slot")
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """Tokenise and pack: one row per piece."""
     store = Stored(docs.sparkSession)
-    pieces = store.keep(tokenize(docs, path, length, with_ids=with_ids))
+    pieces = store.keep(tokenize(docs, path, length, with_ids=with_ids, memo=memo))
     packed = pack(pieces, length)
     return packed.select(public_id().alias("doc_id"), *[c for c in packed.columns if c != "_id"])

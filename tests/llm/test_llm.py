@@ -487,6 +487,26 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert corpus_pipeline.run(spark, sf).count() == inputs[5].count()
 
 
+def test_each_stage_keeps_python_small_by_itself(spark, tmp_path, monkeypatch):
+    """Stages are also run one by one, without ``run``."""
+    setting, seen = corpus_pipeline.BATCH_SETTING, []
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    for module, name in ((quality, "keep_good"), (lines, "drop_repeated_lines"), (near, "keep_first"), (phrases, "without_repeats"), (packing, "pack_documents")):
+        monkeypatch.setattr(module, name, lambda *a, **settings: seen.append((int(spark.conf.get(setting)), settings.get("memo"))))
+    usual = spark.conf.get(setting)
+    try:
+        for given, want in (("10000", 1000), ("0", 1000), ("70", 70)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(setting, given)
+                stage(spark, docs, str(tmp_path))
+            assert [x[0] for x in seen[-5:]] == [want] * 5 and seen[-1][1] < packing.MEMO
+    finally:
+        spark.conf.set(setting, usual)
+    small = packing.encoder(WORD_BPE, 8)
+    assert small is not packing.encoder(WORD_BPE) and small.known.most == 8
+
+
 def test_parities_never_rule_out_an_alignment():
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
