@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.llm.common import Stored, arrow, documents, for_each_row, public_id, rebuilt
-from barloom.llm.components import components
+from barloom.llm.components import components, merged
 from barloom.llm.rolling import TOP, U64, flat, groups, mix, shared
 
 K = 5  # words
@@ -264,10 +264,12 @@ def _classes(rows: DataFrame, similarity: float, functions: int) -> DataFrame:
     cross = store.keep(cross.join(tried, ["_a", "_b"], "left_anti"))
     more = store.keep(verify(cross, bodies, similarity))
     if not more.isEmpty():
-        found = components(links.unionByName(more), store)
-    labelled = distinct.join(found, "_node", "left").withColumn("_class", F.coalesce("_component", "_node"))
-    first = labelled.groupBy("_class").agg(F.min("_doc").alias("_first"))
-    named = labelled.join(first, "_class").select("_t1", "_t2", "_first")
+        found = merged(found, more, store)
+    # A text that is linked to no other is a class of its own.
+    linked = distinct.select("_node", "_doc").join(found, "_node")
+    first = linked.groupBy("_component").agg(F.min("_doc").alias("_first"))
+    named = distinct.select("_t1", "_t2", "_node", "_doc").join(found.join(first, "_component").select("_node", "_first"), "_node", "left").select(
+        "_t1", "_t2", F.coalesce("_first", "_doc").alias("_first"))
     same = (F.col("_id") == F.col("_first._id")) & (F.col("_h") == F.col("_first._h"))
     done = made.select("_id", "_h", "_t1", "_t2").join(named, ["_t1", "_t2"])
     return done.select("_id", "_h", F.col("_first._id").alias("_class"), same.alias("is_first"))
