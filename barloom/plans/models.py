@@ -12,11 +12,12 @@ from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.operators.blocks import broadcast_up_to
 from barloom.operators.moments import moments
+from barloom.plans.boosting import LocalGBTRegressor
 from barloom.session import checkpointed, drop_checkpoint, ensure_checkpoint_dir
 from barloom.sources.schema import FORECAST, KEY, LABEL
 
@@ -123,7 +124,7 @@ class BoostedTrees(Forecaster):
     def estimator(self, train: DataFrame) -> Estimator:
         # MLlib cuts the lineage of its residuals every few rounds if it has a folder for it.
         ensure_checkpoint_dir(train.sparkSession)
-        return GBTRegressor(**self._columns(), **{**BOOSTED, **self.settings})
+        return LocalGBTRegressor(**self._columns(), **{**BOOSTED, **self.settings})
 
 
 @dataclass

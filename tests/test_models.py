@@ -1,16 +1,20 @@
+import uuid
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from barloom.operators.calendar import TradingCalendar
+from barloom.plans import boosting
+from barloom.plans.boosting import LocalGBTRegressor
 from barloom.plans.engine import Engine
 from barloom.plans.features import BASELINE_NAMES, baseline_features, features
 from barloom.plans.metrics import metrics, summary_line
-from barloom.plans.models import BoostedTrees, Ridge, Tree, date_folds, node_table, split_importance
+from barloom.plans.models import BOOSTED, BoostedTrees, Ridge, Tree, date_folds, node_table, split_importance
 from barloom.session import ensure_checkpoint_dir
 from support import random_bars
 
@@ -107,6 +111,69 @@ def test_boosting_starts_from_a_stored_training_set(spark, table, monkeypatch):
     assert stored() == before
 
 
+def ties_and_gaps(spark, n, partitions):
+    """Columns that split alike, few values, zeros, one value only; labels in steps."""
+    rng = np.random.default_rng(n)
+    a = rng.normal(size=n)
+    few, zeros = rng.integers(0, 4, n).astype(float), np.where(rng.random(n) < 0.7, 0.0, rng.normal(size=n))
+    x = np.column_stack([a, a, np.exp(a), -a, few, zeros, np.zeros(n), rng.normal(size=n)])
+    y = np.where(rng.random(n) < 0.3, 0.0, np.round(a + few * zeros, 1))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdefgh")).assign(fret12=y)).repartition(partitions, "a")
+    return VectorAssembler(inputCols=list("abcdefgh"), outputCol="_features").transform(df).cache()
+
+
+def all_nodes(model):
+    """Every node with all its numbers."""
+    def below(node):
+        own = [node.prediction(), node.impurity(), list(node.impurityStats().stats()), node.impurityStats().rawCount()]
+        if node.getClass().getSimpleName() == "LeafNode":
+            return own
+        return own + [node.gain(), node.split().featureIndex(), node.split().threshold(), below(node.leftChild()), below(node.rightChild())]
+
+    return [below(t._java_obj.rootNode()) for t in model.trees], model.treeWeights
+
+
+@pytest.mark.parametrize("n, partitions, settings", [
+    (3000, 3, dict(maxDepth=6)),  # many ties, leaves joined
+    (12_000, 5, dict(maxBins=16, minInstancesPerNode=40)),  # candidates from a sample, drawn row by row
+    (30_000, 2, dict(maxBins=16, minInfoGain=0.01)),  # a small sample, drawn by gaps
+    (2000, 7, dict(featureSubsetStrategy="0.3", subsamplingRate=0.2, maxDepth=8)),
+    (900, 1, dict(featureSubsetStrategy="all", subsamplingRate=1.0)),
+    (3, 2, dict()),
+])
+def test_one_task_boosts_the_trees_of_mllib(spark, n, partitions, settings):
+    df = ties_and_gaps(spark, n, partitions)
+    options = dict(featuresCol="_features", labelCol="fret12") | {**BOOSTED, "maxIter": 6, "maxDepth": 4, **settings}
+    assert all_nodes(LocalGBTRegressor(**options).fit(df)) == all_nodes(GBTRegressor(**options).fit(df))
+
+
+def jobs_of(spark, fit):
+    sc, group = spark.sparkContext, uuid.uuid4().hex
+    sc.setJobGroup(group, "fit")
+    try:
+        return fit(), len(sc.statusTracker().getJobIdsForGroup(group))
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def test_small_sets_take_few_jobs(spark, table, monkeypatch):
+    """A job for each level of each tree costs minutes; a set that a task holds goes without."""
+    _, df = table
+    settings = dict(maxDepth=4, maxIter=12)
+    make = lambda: BoostedTrees(["a", "b", "noise"], settings=settings).fit(df).model
+    small, few = jobs_of(spark, make)
+    monkeypatch.setattr(boosting, "CELLS", 1200 * 3 - 1)
+    large, many = jobs_of(spark, make)
+    assert few <= 12 and many >= 48 and all_nodes(small) == all_nodes(large)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+def test_values_that_mllib_refuses_stay_errors(spark, table, bad):
+    _, df = table
+    with pytest.raises(Exception, match="(?i)nan|infinity|null"):
+        BoostedTrees(["a", "b"], settings=FAST).fit(df.withColumn("fret12", F.when(F.col("a") > 0, F.col("fret12")).otherwise(F.lit(bad).cast("double"))))
+
+
 def test_split_importance(spark, table):
     _, df = table
     model = BoostedTrees(["a", "b", "noise"], settings=FAST).fit(df)
